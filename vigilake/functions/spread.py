@@ -3,8 +3,9 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key counts as hot from this share of all rows on, so at most this many keys are hot.
-HOT_SHARE = 1024
+# Keys with more rows than HOT_ROWS are split over SALTS tasks, at most the HOT_KEYS largest ones.
+HOT_ROWS = 100_000
+HOT_KEYS = 1024
 SALTS = 64
 
 
@@ -27,16 +28,19 @@ def prefix_sum(
     order: list[str],
     out: str,
     value: Column | None = None,
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """Running sum of ``value`` (default: 1, a row number) per ``keys`` in ``order``.
 
-    ``bucket`` must not decrease along ``order``. A window over the keys alone
+    ``bucket`` must not decrease along ``order``, and keys must not be NULL. A window over the keys alone
     would put a hot key's rows into one task; here every task sorts one bucket,
     and only the bucket totals, aggregated before the shuffle, are summed per key.
+    ``base`` may give the same rows at an earlier, cheaper stage for the totals.
     """
     value = F.lit(1) if value is None else value
-    marked = df.withColumns({"__bucket": bucket, "__value": value.cast("bigint")})
-    totals = marked.groupBy(*keys, "__bucket").agg(F.sum("__value").alias("__total"))
+    columns = {"__bucket": bucket, "__value": value.cast("bigint")}
+    marked = df.withColumns(columns)
+    totals = (df if base is None else base).withColumns(columns).groupBy(*keys, "__bucket").agg(F.sum("__value").alias("__total"))
     before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "__bucket", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__offset"))
     within = Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -46,26 +50,29 @@ def prefix_sum(
     )
 
 
-def hot_keys(df: DataFrame, key: str) -> DataFrame:
-    """Hashes of the keys holding at least 1/HOT_SHARE of the rows: at most HOT_SHARE rows of 8 bytes."""
+def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS) -> DataFrame:
+    """Hashes of the largest keys: at most HOT_KEYS rows of 8 bytes, whatever the input."""
     counts = df.where(F.col(key).isNotNull()).groupBy(F.xxhash64(key).alias("__hot")).count()
-    total = counts.agg(F.sum("count").alias("__total"))
-    return counts.join(F.broadcast(total), F.col("count") * HOT_SHARE >= F.col("__total")).select("__hot")
+    largest = counts.where(F.col("count") > min_rows).orderBy(F.desc("count"), "__hot").limit(HOT_KEYS)
+    return largest.select("__hot")
 
 
-def salted_lookup(left: DataFrame, right: DataFrame, key: str, how: str, spread_by: str) -> DataFrame:
-    """Join a possibly skewed ``left`` to ``right`` (one row per ``key``).
+def salted_lookup(
+    left: DataFrame, right: DataFrame, key: str, how: str, spread_by: str, min_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Join a possibly skewed ``left`` to ``right`` (one row per ``key``), inner or left.
 
-    Rows of hot keys are split over SALTS by a hash of ``spread_by``; only the few
-    matching ``right`` rows are copied per salt. The broadcast is bounded: see
-    :func:`hot_keys`.
+    Rows of hot keys, and those without a key, are split over SALTS by a hash of
+    ``spread_by``; only the few matching ``right`` rows are copied per salt. The
+    broadcast is bounded: see :func:`hot_keys`.
     """
-    hot = F.broadcast(hot_keys(left, key))
+    hot = F.broadcast(hot_keys(left, key, min_rows))
 
     def flagged(df):
         return df.join(hot, F.xxhash64(key) == F.col("__hot"), "left")
 
-    salt = F.when(F.col("__hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
+    scattered = F.col("__hot").isNotNull() | F.col(key).isNull()
+    salt = F.when(scattered, F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
     copies = F.when(F.col("__hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     salted = flagged(left).withColumn("__salt", salt).drop("__hot")
     copied = flagged(right).withColumn("__salt", F.explode(copies)).drop("__hot")
