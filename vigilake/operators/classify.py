@@ -41,6 +41,10 @@ def _tagged(found: Column, cls: str) -> Column:
     )
 
 
+def _labelled(entities: Column, label: str) -> Column:
+    return F.filter(entities, lambda e: e["label"] == label)
+
+
 def hit_array(text: Column, taxonomies: list[Taxonomy], location: str, entities: Column | None = None) -> Column:
     """Hits of every class of every taxonomy, in declared order, as one array column."""
     if location not in LOCATIONS:
@@ -50,8 +54,7 @@ def hit_array(text: Column, taxonomies: list[Taxonomy], location: str, entities:
         if data_class.recognizer == NER:
             if entities is None:
                 raise ValueError(f"{data_class.name}: this class needs an entity recognizer and none was given")
-            label = data_class.pattern
-            found = F.filter(entities, lambda e, label=label: e["label"] == label)
+            found = _labelled(entities, data_class.pattern)
         else:
             found = spans(text, data_class.pattern)
         per_class.append(_tagged(found, data_class.name))
