@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def with_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -12,14 +13,23 @@ def with_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     regexes behind it again for every use. A one-row ``inline`` stops that, while
     filters on the other columns still reach the scan.
 
-    Columns must not be structs: nested-field pruning does not cope with chains
-    of generators. Use :func:`with_fields_once` for those.
+    The added columns must not be structs: use :func:`with_fields_once` for those.
     """
-    kept = [c for c in df.columns if c not in columns]
-    row = F.struct(*[c.alias(name) for name, c in columns.items()])
-    return df.select(*kept, F.inline(F.array(row)))
+    return _through_inline(df, F.struct(*[c.alias(name) for name, c in columns.items()]), list(columns))
 
 
 def with_fields_once(df: DataFrame, value: Column) -> DataFrame:
     """Add the fields of one costly struct as columns, evaluated exactly once."""
-    return df.select("*", F.inline(F.array(value)))
+    return _through_inline(df, value, [])
+
+
+def _through_inline(df: DataFrame, row: Column, replaced: list[str]) -> DataFrame:
+    # Nested-field pruning fails on structs that pass through a chain of generators
+    # (INTERNAL_ERROR_ATTRIBUTE_NOT_FOUND in Spark 4.1), so structs go through inside an array.
+    kept = [f for f in df.schema.fields if f.name not in replaced]
+    structs = {f.name for f in kept if isinstance(f.dataType, StructType)}
+    passed = [F.array(F.col(f"`{f.name}`")).alias(f.name) if f.name in structs else F.col(f"`{f.name}`") for f in kept]
+    made = df.select(*passed, F.inline(F.array(row)))
+    if not structs:
+        return made
+    return made.select(*[F.element_at(f"`{c}`", 1).alias(c) if c in structs else F.col(f"`{c}`") for c in made.columns])

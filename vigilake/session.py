@@ -18,6 +18,8 @@ SCALE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
+    # Plans here hold thousands of expressions; call sites per expression slow building them down.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
