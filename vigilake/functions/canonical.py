@@ -5,6 +5,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from vigilake.functions import variant as V
 from vigilake.functions.once import with_once
@@ -34,7 +35,7 @@ def _bones(bare: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(bare, '"[^"]*"', '""'), r"\s+", "")
 
 
-_CHECK = "struct<stored:string,canonical:string,error:string>"
+_CHECK = StructType([StructField(name, StringType()) for name in ("stored", "canonical", "error")])
 
 
 @F.pandas_udf(_CHECK)

@@ -5,6 +5,7 @@ row, so a phase is a narrow stage with no join and no shuffle.
 """
 
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,9 +44,13 @@ FAIL_CLOSED_MESSAGE = "Request blocked: classifier unavailable and policy is fai
 class Clock:
     """When the evaluation counts as made, and what keeps alert ids stable over reruns."""
 
-    now: Column
+    moment: datetime | Column
     run_id: str = "run"
 
+    @property
+    def now(self) -> Column:
+        return self.moment if isinstance(self.moment, Column) else F.lit(self.moment)
+
     @property
     def iso(self) -> Column:
         """ISO-8601 with Z; microseconds only where there are any."""

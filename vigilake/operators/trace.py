@@ -6,6 +6,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from vigilake.functions import variant as V
 from vigilake.functions.once import with_once
@@ -51,7 +52,7 @@ def provenance() -> Column:
     return F.when(F.coalesce(injected, F.lit(False)), F.lit(INJECTED)).otherwise(F.lit(NATURAL))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _python_literal(texts: pd.Series) -> pd.Series:
     """JSON of a dict written as a Python literal, None for anything else."""
 

@@ -10,6 +10,7 @@ from urllib.parse import parse_qsl, quote_plus
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from vigilake.functions import variant as V
 from vigilake.functions.once import with_once
@@ -427,13 +428,13 @@ def _form_tree(body):
     return pairs, -1, None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nested_prompt(bodies: pd.Series) -> pd.Series:
     """Prompt of a form-encoded body whose field holds nested arrays of unbounded depth."""
     return bodies.map(lambda body: _find_prompt(_form_tree(body)[2]))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nested_replace(bodies: pd.Series, prompts: pd.Series, texts: pd.Series) -> pd.Series:
     """The same body with the found prompt replaced."""
 

@@ -36,7 +36,7 @@ class Catalog:
 
 
 NOW = datetime.datetime(2025, 3, 4, 5, 6, 7, 89)
-CLOCK = Clock(F.lit(NOW), run_id="fixed")
+CLOCK = Clock(NOW, run_id="fixed")
 NOW_ISO = "2025-03-04T05:06:07.000089Z"
 
 
@@ -74,9 +74,15 @@ DOC_POLICIES = PolicySet(
     ),
     "d0c5e7d0c5e7",
 )
-DOC_DESTINATION = F.when(F.col("lang") == "de", "internal").otherwise("external_vendor")
 DOC_DESTINATION_SQL = "CASE WHEN lang = 'de' THEN 'internal' ELSE 'external_vendor' END"
-DOC_ERROR = F.when(F.col("source") == "src3", "classifier_timeout")
+
+
+def doc_destination():
+    return F.when(F.col("lang") == "de", "internal").otherwise("external_vendor")
+
+
+def doc_error():
+    return F.when(F.col("source") == "src3", "classifier_timeout")
 
 
 def hits_sql(source: str = "documents", key: str = "doc_id", text: str = "text", patterns=None) -> str:

@@ -9,8 +9,6 @@ from vigilake.operators.taxonomy import shipped
 from vigilake.plans.base import (
     CARD,
     CLOCK,
-    DOC_DESTINATION,
-    DOC_ERROR,
     DOC_POLICIES,
     EMAIL,
     FLAGS_SQL,
@@ -22,6 +20,8 @@ from vigilake.plans.base import (
     WORDS,
     Catalog,
     decisions_sql,
+    doc_destination,
+    doc_error,
     exchanges,
     hits_sql,
     table,
@@ -43,7 +43,7 @@ def doc_hits(spark, sf_dir):
 def doc_evaluation(spark, sf_dir, error=None):
     return evaluate(
         doc_hits(spark, sf_dir), DOC_POLICIES, text="text", hits="hits", direction="response", clock=CLOCK,
-        key="doc_id", destination=DOC_DESTINATION, error=error,
+        key="doc_id", destination=doc_destination(), error=error,
     )
 
 
@@ -160,14 +160,17 @@ def data_classes(spark, sf_dir):
     return done.select("exchange_id", F.inline(classify.data_classes(F.col("all_hits"))))
 
 
-# What the labels of a corpus would say: a document is expected to hold e-mail when it holds an @.
-_EXPECTED = F.array_compact(
-    F.array(
-        F.when(F.col("text").contains("@"), F.lit("pii:email")),
-        F.when(F.regexp_count("text", F.lit(r"\d{16}")) > 0, F.lit("pii:card")),
-        F.when(F.col("text").contains("255."), F.lit("pii:ip")),
+def expected():
+    """What the labels of a corpus would say: a document is expected to hold e-mail when it holds an @."""
+    return F.array_compact(
+        F.array(
+            F.when(F.col("text").contains("@"), F.lit("pii:email")),
+            F.when(F.regexp_count("text", F.lit(r"\d{16}")) > 0, F.lit("pii:card")),
+            F.when(F.col("text").contains("255."), F.lit("pii:ip")),
+        )
     )
-)
+
+
 _QUALITY_SQL = f"""WITH {FLAGS_SQL}, truth AS (
     SELECT doc_id, [x FOR x IN [CASE WHEN contains(text, '@') THEN 'pii:email' END,
              CASE WHEN regexp_matches(text, '\\d{{16}}') THEN 'pii:card' END,
@@ -185,7 +188,7 @@ _QUALITY_SQL = f"""WITH {FLAGS_SQL}, truth AS (
          CASE WHEN sum(tp) + sum(fn) = 0 THEN 1.0 ELSE sum(tp)::DOUBLE / (sum(tp) + sum(fn)) END AS recall FROM scored""",
 )
 def classifier_quality(spark, sf_dir):
-    return classify.quality(classify.with_expectation(doc_hits(spark, sf_dir).withColumn("want", _EXPECTED), "want"))
+    return classify.quality(classify.with_expectation(doc_hits(spark, sf_dir).withColumn("want", expected()), "want"))
 
 
 @CATALOG.query(
@@ -194,7 +197,7 @@ def classifier_quality(spark, sf_dir):
          array_to_string(list_sort(want), ',') AS want FROM scored WHERE fp > 0 OR fn > 0""",
 )
 def classifier_failures(spark, sf_dir):
-    scored = classify.with_expectation(doc_hits(spark, sf_dir).withColumn("want", _EXPECTED), "want")
+    scored = classify.with_expectation(doc_hits(spark, sf_dir).withColumn("want", expected()), "want")
     return classify.mismatches(scored).select(
         "doc_id", F.array_join("got", ",").alias("got"), F.array_join(F.array_sort("want"), ",").alias("want")
     )
@@ -340,7 +343,7 @@ _ELIGIBLE = "\nUNION ALL\n".join(
        WHERE source <> 'src3' AND doc_id NOT IN (SELECT doc_id FROM fired)""",
 )
 def classifier_error(spark, sf_dir):
-    done = doc_evaluation(spark, sf_dir, DOC_ERROR)
+    done = doc_evaluation(spark, sf_dir, doc_error())
     rows = done.select(
         "doc_id",
         F.col("evaluation.final_verdict").alias("final_verdict"),
@@ -363,7 +366,7 @@ def classifier_error(spark, sf_dir):
 def classifier_error_without_rules(spark, sf_dir):
     done = evaluate(
         doc_hits(spark, sf_dir), policies.PolicySet((), policies.EMPTY_SET), text="text", hits="hits",
-        direction="response", clock=CLOCK, key="doc_id", error=DOC_ERROR,
+        direction="response", clock=CLOCK, key="doc_id", error=doc_error(),
     )
     rows = decision_rows(done, ["doc_id"])
     return rows.select("doc_id", "policy_id", "verdict", "enforcement_mode", "would_have_blocked", "error_reason")

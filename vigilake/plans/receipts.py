@@ -256,7 +256,9 @@ def enforced_blocks(spark, sf_dir):
     )
 
 
-_TODAY = F.lit("2025-02-03").cast("date")
+
+def today():
+    return F.lit("2025-02-03").cast("date")
 
 
 @CATALOG.query(
@@ -264,14 +266,14 @@ _TODAY = F.lit("2025-02-03").cast("date")
     f"{_RECEIPTS_SQL} SELECT receipt_id, retain_until FROM receipts WHERE NOT legal_hold AND retain_until < '2025-02-03'",
 )
 def prune_candidates(spark, sf_dir):
-    return reports.prune_candidates(built(spark, sf_dir), _TODAY)
+    return reports.prune_candidates(built(spark, sf_dir), today())
 
 
 @CATALOG.query(
     "prune_by_age", f"{_RECEIPTS_SQL} SELECT receipt_id FROM receipts WHERE NOT legal_hold AND ts::DATE < DATE '2025-01-04'"
 )
 def prune_by_age(spark, sf_dir):
-    return reports.older_than(built(spark, sf_dir), _TODAY, 30).select("receipt.receipt_id")
+    return reports.older_than(built(spark, sf_dir), today(), 30).select("receipt.receipt_id")
 
 
 @CATALOG.query(
@@ -280,7 +282,7 @@ def prune_by_age(spark, sf_dir):
         GROUP BY 1 HAVING NOT bool_or(legal_hold)""",
 )
 def prune_emptied_days(spark, sf_dir):
-    return reports.emptied_days(built(spark, sf_dir), _TODAY, 30)
+    return reports.emptied_days(built(spark, sf_dir), today(), 30)
 
 
 @CATALOG.query("resource_lookup", f"{_RECEIPTS_SQL} SELECT receipt_id FROM receipts WHERE conv_id % 10 = 4")

@@ -105,7 +105,7 @@ def _assembler(idle_ms: int):
         vendor, text = state.get if state.exists else ("", "")
         rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
         vendor = rows.vendor.iloc[-1]
-        ended = bool(rows.last.any())
+        ended = bool(rows["last"].any())
         added = [t for t in rows.text if t]
         if added:
             text = added[-1] if vendor == "chatgpt" else text + "".join(added)
@@ -129,7 +129,7 @@ def assembled_streams(chunks: DataFrame, idle_ms: int = 60_000) -> DataFrame:
     """
     texts = with_once(chunks, {"text": traffic.frame_text(F.col("data"), F.col("vendor"))})
     return (
-        texts.select("stream_id", "seq", "vendor", "text", "last")
+        texts.select(F.col("stream_id").cast("string").alias("stream_id"), "seq", "vendor", "text", "last")
         .groupBy("stream_id")
         .applyInPandasWithState(
             _assembler(idle_ms), ASSEMBLED, _STREAM_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
