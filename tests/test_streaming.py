@@ -1,0 +1,78 @@
+import datetime
+import json
+
+
+from test_traffic import CHUNKS
+from vigilake.operators.evaluate import Clock
+from vigilake.operators.policies import Policy, PolicySet
+from vigilake.operators.taxonomy import taxonomy
+from vigilake.streaming import jobs
+
+CLOCK = Clock(datetime.datetime(2024, 1, 1))
+WORDS = taxonomy("n", [{"class": "a", "recognizer": "keyword_list", "pattern": ["world"]}])
+RULES = PolicySet((Policy("r_a", "1", "response", "any", "any_of", ("n:a",), "redact", redact_with="#"),), "v")
+
+
+def through(spark, df, make, tmp_path, name, partitions=2):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    df.repartition(partitions).write.parquet(source)
+    stream = make(spark.readStream.schema(df.schema).parquet(source))
+    jobs.start_files(stream, out, f"{name}-{tmp_path.name}", "parquet", once=True).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out).collect()
+
+
+def test_streams_are_assembled_and_audited(spark, tmp_path):
+    rows = [(*c, c[1] in (5000, 2) and c[:2] != ("a", 2)) for c in CHUNKS]
+    df = spark.createDataFrame(rows, "stream_id string, seq bigint, vendor string, data string, last boolean")
+    got = through(
+        spark, df, lambda s: jobs.audited_streams(jobs.assembled_streams(s), [WORDS], RULES, CLOCK).select("exchange_id", "text", "verdict", "text_out"),
+        tmp_path, "assembly", 1,
+    )
+    assert sorted(map(tuple, got)) == [
+        ("a", "hello world!", "redacted", "hello #!"), ("b", "hello world and more", "redacted", "hello # and more")
+    ]
+
+
+def test_exchanges_become_receipts(spark, tmp_path):
+    who = {"user_id": "u", "user_role": None, "department": None, "auth_method": None}
+    what = {"tool_id": "t", "tool_version": None, "model_id": "m", "model_vendor": None, "endpoint": None}
+    df = spark.createDataFrame(
+        [(i, "q", "the world", tuple(who.values()), tuple(what.values())) for i in range(20)],
+        f"exchange_id int, prompt string, response string, actor struct<{','.join(f'{k}:string' for k in who)}>, tool struct<{','.join(f'{k}:string' for k in what)}>",
+    )
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    df.write.parquet(source)
+    built = jobs.receipts_of_exchanges(spark.readStream.schema(df.schema).parquet(source), [WORDS], RULES, CLOCK)
+    jobs.start_receipts(built, out, f"receipts-{tmp_path.name}", once=True).awaitTermination()
+    lines = [json.loads(r.value) for r in spark.read.text(out).collect()]
+    assert len(lines) == 20 and {d["response"]["text"] for d in lines} == {"the #"}
+
+
+def test_masking_is_per_chunk(spark, tmp_path):
+    df = spark.createDataFrame([(1, "DOB: 01/02/1990"), (2, "DOB: 01/"), (3, "02/1990")], "seq int, data string")
+    got = sorted((r.seq, r.data) for r in through(spark, df, jobs.masked_chunks, tmp_path, "mask"))
+    assert got == [(1, "DOB: [redacted]"), (2, "DOB: 01/"), (3, "02/1990")]
+
+
+def test_circular_state_survives_restarts(spark, tmp_path):
+    source, out, name = str(tmp_path / "in"), str(tmp_path / "out"), f"log-{tmp_path.name}"
+    schema = "file string, line_no bigint, session_id string, op string, target string"
+    for batch in range(4):
+        rows = [("f", batch * 2 + i, "s", "READ", "x" if batch != 2 else None) for i in range(2)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        jobs.start_files(jobs.live_circular(stream), out, name, "parquet", once=True).awaitTermination()
+    rows = spark.read.parquet(out).orderBy("line_no").collect()
+    assert [r.seq for r in rows] == list(range(1, 9))
+    assert [r.circular for r in rows] == [False, False, True, True, False, False, True, True]
+
+
+def test_checkpoints_go_to_the_shared_folder(spark, tmp_path):
+    from vigilake.session import checkpoint_dir
+
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        assert checkpoint_dir(spark) == str(tmp_path)
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
+    assert checkpoint_dir(spark) != str(tmp_path)
