@@ -1,5 +1,6 @@
 import datetime
 import json
+import uuid
 
 
 from test_traffic import CHUNKS
@@ -17,7 +18,7 @@ def through(spark, df, make, tmp_path, name, partitions=2):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     df.repartition(partitions).write.parquet(source)
     stream = make(spark.readStream.schema(df.schema).parquet(source))
-    jobs.start_files(stream, out, f"{name}-{tmp_path.name}", "parquet", once=True).awaitTermination()
+    jobs.start_files(stream, out, f"{name}-{uuid.uuid4().hex}", "parquet", once=True).awaitTermination()
     return spark.read.schema(stream.schema).parquet(out).collect()
 
 
@@ -43,7 +44,7 @@ def test_exchanges_become_receipts(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     df.write.parquet(source)
     built = jobs.receipts_of_exchanges(spark.readStream.schema(df.schema).parquet(source), [WORDS], RULES, CLOCK)
-    jobs.start_receipts(built, out, f"receipts-{tmp_path.name}", once=True).awaitTermination()
+    jobs.start_receipts(built, out, f"receipts-{uuid.uuid4().hex}", once=True).awaitTermination()
     lines = [json.loads(r.value) for r in spark.read.text(out).collect()]
     assert len(lines) == 20 and {d["response"]["text"] for d in lines} == {"the #"}
 
@@ -55,7 +56,7 @@ def test_masking_is_per_chunk(spark, tmp_path):
 
 
 def test_circular_state_survives_restarts(spark, tmp_path):
-    source, out, name = str(tmp_path / "in"), str(tmp_path / "out"), f"log-{tmp_path.name}"
+    source, out, name = str(tmp_path / "in"), str(tmp_path / "out"), f"log-{uuid.uuid4().hex}"
     schema = "file string, line_no bigint, session_id string, op string, target string"
     for batch in range(4):
         rows = [("f", batch * 2 + i, "s", "READ", "x" if batch != 2 else None) for i in range(2)]
@@ -67,12 +68,8 @@ def test_circular_state_survives_restarts(spark, tmp_path):
     assert [r.circular for r in rows] == [False, False, True, True, False, False, True, True]
 
 
-def test_checkpoints_go_to_the_shared_folder(spark, tmp_path):
+def test_checkpoints_go_to_the_shared_folder(spark):
     from vigilake.session import checkpoint_dir
 
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert checkpoint_dir(spark) == str(tmp_path)
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
-    assert checkpoint_dir(spark) != str(tmp_path)
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert checkpoint_dir(spark) == (named or spark.sparkContext.getCheckpointDir())

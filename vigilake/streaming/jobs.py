@@ -147,11 +147,25 @@ def audited_streams(
     return evaluate_single_phase(records, taxonomies, policy_set, clock)
 
 
+def _start(writer, spark: SparkSession, once: bool) -> StreamingQuery:
+    if not once:
+        return writer.start()
+    # An operator with a processing-time timeout asks for another batch forever, so a run
+    # over what is there must not go on without data. The query keeps the value it starts with.
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        return writer.trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(key, before)
+
+
 def start_files(df: DataFrame, path: str, name: str, fmt: str = "json", once: bool = False) -> StreamingQuery:
     """Write a stream to files, exactly once, with its checkpoint in the shared folder."""
     writer = df.writeStream.format(fmt).option("path", path).option("checkpointLocation", _checkpoint(df, name))
     writer = writer.queryName(name).outputMode("append")
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    return _start(writer, df.sparkSession, once)
 
 
 def start_receipts(built: DataFrame, path: str, name: str = "receipts", once: bool = False) -> StreamingQuery:
@@ -159,4 +173,4 @@ def start_receipts(built: DataFrame, path: str, name: str = "receipts", once: bo
     lines = built.select("day", F.col("raw").alias("value"))
     writer = lines.writeStream.format("text").partitionBy("day").option("path", path)
     writer = writer.option("checkpointLocation", _checkpoint(built, name)).queryName(name).outputMode("append")
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    return _start(writer, built.sparkSession, once)
