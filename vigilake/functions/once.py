@@ -28,6 +28,8 @@ def _through_inline(df: DataFrame, row: Column, replaced: list[str]) -> DataFram
     # (INTERNAL_ERROR_ATTRIBUTE_NOT_FOUND in Spark 4.1), so structs go through inside an array.
     kept = [f for f in df.schema.fields if f.name not in replaced]
     structs = {f.name for f in kept if isinstance(f.dataType, StructType)}
+    if not structs and len(kept) == len(df.columns):
+        return df.select("*", F.inline(F.array(row)))
     passed = [F.array(F.col(f"`{f.name}`")).alias(f.name) if f.name in structs else F.col(f"`{f.name}`") for f in kept]
     made = df.select(*passed, F.inline(F.array(row)))
     if not structs:

@@ -111,43 +111,41 @@ def build_receipts(
         },
     )
 
-    def receipt(hash_value: Column) -> Column:
-        parts = {
-            "actor": pick(who, schemas.ACTOR),
-            "data_classes_touched": F.col("__touched"),
-            "downstream_actions": actions.cast(f"array<{schemas.ACTION}>"),
-            "evidence": F.struct(
-                F.lit(capture_method).alias("capture_method"),
-                F.lit(captured_by).alias("captured_by"),
-                hash_value.alias("receipt_hash"),
-                _named(signature, "string").alias("signature"),
-            ),
-            "external_trace_uri": _named(external_trace_uri, "string"),
-            "policy_decisions": F.col("__decisions"),
-            "prompt": _texts(
-                "final_prompt", "__prompt_hash", context_references=references.cast(f"array<{schemas.REFERENCE}>")
-            ),
-            "receipt_id": receipt_id(now, F.col(key)),
-            "response": _texts(
-                "final_response",
-                "__response_hash",
-                tokens_used=_named(tokens_used, "bigint"),
-                latency_ms=_named(latency_ms, "bigint"),
-            ),
-            "retention": F.struct(
-                iso_utc(until, "+00:00").alias("deletable_after"),
-                (F.lit(False) if legal_hold is None else legal_hold).alias("legal_hold"),
-                F.date_format(until, "yyyy-MM-dd").alias("retain_until"),
-                F.lit(retention_policy).alias("retention_policy"),
-            ),
-            "schema_version": F.lit(SCHEMA_VERSION),
-            "timestamp": iso_utc(now, "Z"),
-            "tool": pick(what, schemas.TOOL),
-        }
-        return F.struct(*[value.alias(name) for name, value in parts.items()])
+    parts = {
+        "actor": pick(who, schemas.ACTOR),
+        "data_classes_touched": F.col("__touched"),
+        "downstream_actions": actions.cast(f"array<{schemas.ACTION}>"),
+        "evidence": F.struct(
+            F.lit(capture_method).alias("capture_method"),
+            F.lit(captured_by).alias("captured_by"),
+            F.lit("").alias("receipt_hash"),
+            _named(signature, "string").alias("signature"),
+        ),
+        "external_trace_uri": _named(external_trace_uri, "string"),
+        "policy_decisions": F.col("__decisions"),
+        "prompt": _texts(
+            "final_prompt", "__prompt_hash", context_references=references.cast(f"array<{schemas.REFERENCE}>")
+        ),
+        "receipt_id": receipt_id(now, F.col(key)),
+        "response": _texts(
+            "final_response",
+            "__response_hash",
+            tokens_used=_named(tokens_used, "bigint"),
+            latency_ms=_named(latency_ms, "bigint"),
+        ),
+        "retention": F.struct(
+            iso_utc(until, "+00:00").alias("deletable_after"),
+            (F.lit(False) if legal_hold is None else legal_hold).alias("legal_hold"),
+            F.date_format(until, "yyyy-MM-dd").alias("retain_until"),
+            F.lit(retention_policy).alias("retention_policy"),
+        ),
+        "schema_version": F.lit(SCHEMA_VERSION),
+        "timestamp": iso_utc(now, "Z"),
+        "tool": pick(what, schemas.TOOL),
+    }
 
     # The hash covers the receipt with an empty hash field; it is then put in its place in the text.
-    opened = receipt(F.lit(""))
+    opened = F.struct(*[value.alias(name) for name, value in parts.items()])
     optional = [
         (json_of(F.struct(opened[name].alias(name))), F.to_json(F.struct(opened[name].alias(name))))
         for name in ("actor", "tool")
@@ -169,7 +167,7 @@ def build_receipts(
     blank, filled = F.lit('"receipt_hash":""'), F.concat(F.lit('"receipt_hash":"'), F.col("__hash"), F.lit('"'))
     return signed.select(
         key,
-        receipt(F.col("__hash")).cast(schemas.RECEIPT).alias("receipt"),
+        opened.withField("evidence.receipt_hash", F.col("__hash")).cast(schemas.RECEIPT).alias("receipt"),
         F.replace(F.col("__open"), blank, filled).alias("raw"),
         F.to_date(now).alias("day"),
     )
