@@ -40,13 +40,15 @@ def build(app: str = "vigilake", master: str | None = None, **conf) -> SparkSess
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a local one only where none is set (tests)."""
+    """Shared folder named by the cluster. Only a local session without one gets a folder of its own."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     fresh = tempfile.mkdtemp(prefix="vigilake-ckpt-")
     spark.sparkContext.setCheckpointDir(fresh)
     return fresh
