@@ -87,7 +87,7 @@ def test_precedence(spark):
     # An alert outranks a redaction, and then the text stays as it was.
     assert (alerted.final_verdict, alerted.mutated_text) == ("alerted", TEXT)
     record = alerted.decisions[1].alert_id
-    assert record.id.startswith("alert_2024-05-06_07-08-09_") and len(record.id) == 32
+    assert record.id.startswith("alert_2024-05-06_07-08-09_") and len(record.id) == 50
     assert (record.delivery_status, record.delivered_at) == ("pending", None)
 
 

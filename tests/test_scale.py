@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from vigilake.functions.once import with_once
-from vigilake.functions.spread import HOT_KEYS, hot_keys, prefix_sum, salted_lookup, spread
+from vigilake.functions.spread import hot_keys, prefix_sum, salted_lookup, spread
 from vigilake.operators.policies import PolicySet
 from vigilake.plans import base, evaluation
 
@@ -31,7 +31,7 @@ def test_salted_lookup_equals_a_join(spark):
     left = spark.createDataFrame(rows, "id int, k string")
     right = spark.createDataFrame([("hot", "H")] + [(f"k{i}", f"v{i}") for i in range(30)], "k string, v string")
     known = dict(r for r in right.collect())
-    assert hot_keys(left, "k", 100).count() in range(1, HOT_KEYS + 1)
+    assert hot_keys(left, "k", 100).count() >= 1
     for how in ("left", "inner"):
         got = sorted((r.id, r.v) for r in salted_lookup(left, right, "k", how, "id", min_rows=100).collect())
         expected = [(i, known.get(k)) for i, k in rows if how == "left" or k in known]

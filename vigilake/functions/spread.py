@@ -3,10 +3,10 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Keys with more rows than HOT_ROWS are split over SALTS tasks, at most the HOT_KEYS largest ones.
+# Keys with more rows than this are split into parts of about as many rows.
 HOT_ROWS = 100_000
-HOT_KEYS = 1024
-SALTS = 64
+# Rows without a key match nothing and are dealt over so many salts.
+NO_KEY_SALTS = 65_536
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -32,8 +32,8 @@ def prefix_sum(
 ) -> DataFrame:
     """Running sum of ``value`` (default: 1, a row number) per ``keys`` in ``order``.
 
-    ``bucket`` must not decrease along ``order``, and keys must not be NULL. A window over the keys alone
-    would put a hot key's rows into one task; here every task sorts one bucket,
+    ``bucket`` must not decrease along ``order``. A NULL key is a key of its own and a NULL
+    bucket comes first, so no row is lost. A window over the keys alone would put a hot key's rows into one task; here every task sorts one bucket,
     and only the bucket totals, aggregated before the shuffle, are summed per key.
     ``base`` may give the same rows at an earlier, cheaper stage for the totals.
     """
@@ -44,17 +44,19 @@ def prefix_sum(
     before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "__bucket", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__offset"))
     within = Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = marked.join(offsets, [*keys, "__bucket"])
+    by = [*keys, "__bucket"]
+    right = offsets.select(*[F.col(c).alias(f"__of_{c}") for c in by], "__offset")
+    local = marked.join(right, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in by]).drop(*[f"__of_{c}" for c in by])
     return local.withColumn(out, F.col("__offset") + F.sum("__value").over(within)).drop(
         "__bucket", "__value", "__offset"
     )
 
 
 def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS) -> DataFrame:
-    """Hashes of the largest keys: at most HOT_KEYS rows of 8 bytes, whatever the input."""
+    """(hash, parts) of every key with more than ``min_rows`` rows; parts grow with the key's rows."""
     counts = df.where(F.col(key).isNotNull()).groupBy(F.xxhash64(key).alias("__hot")).count()
-    largest = counts.where(F.col("count") > min_rows).orderBy(F.desc("count"), "__hot").limit(HOT_KEYS)
-    return largest.select("__hot")
+    parts = F.ceil(F.col("count") / min_rows).cast("int").alias("__parts")
+    return counts.where(F.col("count") > min_rows).select("__hot", parts)
 
 
 def salted_lookup(
@@ -62,18 +64,18 @@ def salted_lookup(
 ) -> DataFrame:
     """Join a possibly skewed ``left`` to ``right`` (one row per ``key``), inner or left.
 
-    Rows of hot keys, and those without a key, are split over SALTS by a hash of
-    ``spread_by``; only the few matching ``right`` rows are copied per salt. The
-    broadcast is bounded: see :func:`hot_keys`.
+    Rows of hot keys are split into parts by a hash of ``spread_by``, rows without a key
+    likewise; only the matching ``right`` rows are copied per part. The optimizer decides
+    how the table of hot keys is joined: it has one row per ``min_rows`` rows at most.
     """
-    hot = F.broadcast(hot_keys(left, key, min_rows))
+    hot = hot_keys(left, key, min_rows)
 
     def flagged(df):
         return df.join(hot, F.xxhash64(key) == F.col("__hot"), "left")
 
-    scattered = F.col("__hot").isNotNull() | F.col(key).isNull()
-    salt = F.when(scattered, F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-    copies = F.when(F.col("__hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    salted = flagged(left).withColumn("__salt", salt).drop("__hot")
-    copied = flagged(right).withColumn("__salt", F.explode(copies)).drop("__hot")
+    parts = F.when(F.col(key).isNull(), F.lit(NO_KEY_SALTS)).otherwise(F.coalesce("__parts", F.lit(1)))
+    salt = F.pmod(F.xxhash64(spread_by), parts).cast("int")
+    copies = F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)
+    salted = flagged(left).withColumn("__salt", salt).drop("__hot", "__parts")
+    copied = flagged(right).withColumn("__salt", F.explode(copies)).drop("__hot", "__parts")
     return salted.join(copied, [key, "__salt"], how).drop("__salt")

@@ -26,6 +26,35 @@ def prefixed_sha256(text: Column, prefix: str = "sha256:") -> Column:
     return F.concat(F.lit(prefix), digest) if prefix else digest
 
 
+def fold_append(items: Column, zero: Column, out_type: str, step) -> Column:
+    """Fold ``items`` with a state and collect what each step gives, as array<struct<state, out>> of blocks.
+
+    ``step(state, item)`` returns (state, array of new elements). Appending to one array
+    copies it each time, so the fold runs in blocks of about the square root of the
+    items, and only blocks are appended to each other.
+    """
+    empty = F.array().cast(out_type)
+
+    def inner(acc, item):
+        state, out = step(acc["state"], item)
+        return F.struct(state.alias("state"), F.concat(acc["out"], out).alias("out"))
+
+    def in_blocks(items):
+        width = F.greatest(F.ceil(F.sqrt(F.size(items))).cast("int"), F.lit(1))
+        count = F.ceil(F.size(items) / width).cast("int")
+
+        def outer(blocks, i):
+            begin = F.struct(F.element_at(blocks, F.lit(-1))["state"].alias("state"), empty.alias("out"))
+            return F.concat(blocks, F.array(F.aggregate(F.slice(items, i * width + 1, width), begin, inner)))
+
+        start = F.array(F.struct(zero.alias("state"), empty.alias("out")))
+        numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(numbers, start, outer)
+
+    # A one-element transform names the items: the expression behind them is computed once.
+    return F.element_at(F.transform(F.array(items), in_blocks), 1)
+
+
 def spans(text: Column, pattern: str) -> Column:
     """All non-overlapping matches of ``pattern`` with code-point offsets.
 
@@ -37,19 +66,15 @@ def spans(text: Column, pattern: str) -> Column:
     between = F.split(text, pattern, -1)
     # split() yields one piece more than there are matches; zip_with pads the tail with NULL.
     pairs = F.zip_with(between, found, lambda gap, hit: F.struct(F.char_length(gap).alias("gap"), hit.alias("hit")))
-    start = F.struct(
-        F.lit(0).alias("pos"),
-        F.array().cast(f"array<{SPAN}>").alias("out"),
-    )
 
-    def step(acc, pair):
-        begin = acc["pos"] + pair["gap"]
+    def step(position, pair):
+        begin = position + pair["gap"]
         end = begin + F.char_length(pair["hit"])
         span = F.struct(begin.alias("start"), end.alias("end"), pair["hit"].alias("text"))
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
+        return end, F.array(span)
 
     matched = F.filter(pairs, lambda pair: pair["hit"].isNotNull())
     return F.when(
         text.rlike(pattern),
-        F.aggregate(matched, start, step, lambda acc: acc["out"]),
+        F.flatten(fold_append(matched, F.lit(0), f"array<{SPAN}>", step)["out"]),
     ).otherwise(F.array().cast(f"array<{SPAN}>"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.functions.once import with_fields_once, with_once
-from vigilake.functions.text import prefixed_sha256
+from vigilake.functions.text import fold_append, prefixed_sha256
 from vigilake.operators.policies import Policy, PolicySet
 
 REDACTION = "struct<location:string,before_hash:string,after_hash:string>"
@@ -98,32 +98,31 @@ def redact_spans(text: Column, ops: Column, location: Column | str, merge_overla
     Gives struct(text, applied): ``applied`` holds (policy_id, redaction).
     """
     kept_type = "array<struct<from:int,start:int,end:int,policy_id:string,text:string,template:string>>"
-    first = F.struct(F.lit(0).alias("cursor"), F.array().cast(kept_type).alias("kept"))
+    none = F.array().cast(kept_type)
 
-    def step(acc, op):
+    def step(cursor, op):
         taken = F.struct(
-            acc["cursor"].alias("from"),
+            cursor.alias("from"),
             op["start"].alias("start"),
             op["end"].alias("end"),
             op["policy_id"].alias("policy_id"),
             op["text"].alias("text"),
             op["template"].alias("template"),
         )
-        applied = F.struct(op["end"].alias("cursor"), F.concat(acc["kept"], F.array(taken)).alias("kept"))
-        covered = acc
-        if merge_overlaps:
-            covered = F.struct(F.greatest(acc["cursor"], op["end"]).alias("cursor"), acc["kept"].alias("kept"))
-        return F.when(op["start"] < acc["cursor"], covered).otherwise(applied)
+        covered = F.greatest(cursor, op["end"]) if merge_overlaps else cursor
+        skipped = op["start"] < cursor
+        return F.when(skipped, covered).otherwise(op["end"]), F.when(skipped, none).otherwise(F.array(taken))
 
-    def finish(acc):
+    def finish(blocks):
+        kept = F.flatten(blocks["out"])
         pieces = F.transform(
-            acc["kept"],
+            kept,
             lambda k: F.concat(F.substring(text, k["from"] + 1, k["start"] - k["from"]), k["template"]),
         )
-        tail = F.substring(text, acc["cursor"] + 1, F.char_length(text))
+        tail = F.substring(text, F.element_at(blocks, F.lit(-1))["state"] + 1, F.char_length(text))
         where = location if isinstance(location, Column) else F.lit(location)
         applied = F.transform(
-            acc["kept"],
+            kept,
             lambda k: F.struct(
                 k["policy_id"].alias("policy_id"),
                 F.struct(
@@ -135,7 +134,9 @@ def redact_spans(text: Column, ops: Column, location: Column | str, merge_overla
         )
         return F.struct(F.concat(F.array_join(pieces, ""), tail).alias("text"), applied.alias("applied"))
 
-    return F.aggregate(F.array_sort(ops), first, step, finish)
+    # A one-element transform names the folded blocks, so that they are computed once.
+    folded = fold_append(F.array_sort(ops), F.lit(0), kept_type, step)
+    return F.element_at(F.transform(F.array(folded), finish), 1)
 
 
 def _redact_ops(fired: Column, hits: Column) -> Column:
@@ -233,7 +234,7 @@ def evaluate(
 
     def alert(rule):
         suffix = F.substring(
-            F.sha2(F.concat_ws("|", F.col(key).cast("string"), rule["policy_id"], F.lit(clock.run_id)), 256), 1, 6
+            F.sha2(F.concat_ws("|", F.col(key).cast("string"), rule["policy_id"], F.lit(clock.run_id)), 256), 1, 24
         )
         stamp = F.date_format(clock.now, "yyyy-MM-dd_HH-mm-ss")
         record = F.struct(

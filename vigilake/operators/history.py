@@ -71,7 +71,8 @@ def strip_blocks(turns: DataFrame, is_block: str = "is_block") -> DataFrame:
     walled = prefix_sum(turns, ["conv_id"], bucket, ["turn"], "__wall", wall)
     part = Window.partitionBy("conv_id", "__wall").orderBy("turn")
     until = part.rowsBetween(Window.unboundedPreceding, 0)
-    after = part.rowsBetween(1, Window.unboundedFollowing)
+    # The turns after this one, as a running frame of the opposite order: linear, where a frame to the end is not.
+    after = Window.partitionBy("conv_id", "__wall").orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, -1)
     summed = walled.withColumn("__sum", F.sum(step).over(until))
     deep = summed.withColumn("__depth", F.col("__sum") - F.least(F.lit(0), F.min("__sum").over(until)))
     taken = user & F.coalesce(F.min("__depth").over(after) < F.col("__depth"), F.lit(False))

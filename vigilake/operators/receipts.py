@@ -15,11 +15,11 @@ SCHEMA_VERSION = "1.1"
 DAYS_PER_YEAR = 365
 
 
-def receipt_id(ts: Column, key: Column, digits: int = 12) -> Column:
+def receipt_id(ts: Column, key: Column, digits: int = 24) -> Column:
     """Id with a second's resolution and a hash suffix, stable over reruns.
 
-    Six hex digits are the format's minimum; twelve keep ids apart at 100 million
-    receipts a second.
+    Six hex digits are the format's minimum. A batch may put all its receipts into one
+    second, so the suffix has 96 bits: two of 10^12 receipts share one with a chance below 10^-5.
     """
     stamp = F.date_format(ts, "yyyy-MM-dd'T'HH-mm-ss")
     return F.concat(F.lit("rcp_"), stamp, F.lit("_"), F.substring(F.sha2(key.cast("string"), 256), 1, digits))

@@ -16,9 +16,6 @@ TRIGGERS = {
 ACTIONS = ("ACTION_HALT", "ACTION_SOCRATIC", "ACTION_BRANCH")
 HALT = "ACTION_HALT"
 
-# A trap table is config. It is only broadcast below this many rows.
-MAX_BROADCAST_TRAPS = 10_000
-
 
 def empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], schemas.TRAP)
@@ -58,30 +55,18 @@ def active(traps: DataFrame) -> DataFrame:
     return watched.where(F.col("flag").isNotNull())
 
 
-def match(nodes: DataFrame, traps: DataFrame, bounded: bool | None = None) -> DataFrame:
+def match(nodes: DataFrame, traps: DataFrame) -> DataFrame:
     """One event per node and active trap whose flag the node carries.
 
-    The trap side is broadcast when it is known or counted to be small; otherwise
-    it is hashed by flag with the nodes salted over many tasks, since there are
-    only a few flags. ``bounded`` skips the count (streams must give it).
+    The optimizer sees the size of the trap table: small ones are broadcast, and of
+    others the few hot flags are split when the join runs.
     """
-    watched = active(traps).select(
-        F.col("id").alias("trap_id"), F.col("on"), F.col("action"), F.col("flag")
-    )
-    if bounded is None:
-        bounded = watched.limit(MAX_BROADCAST_TRAPS + 1).count() <= MAX_BROADCAST_TRAPS
-    fields = [
-        "trap_id", "on", "action", "node_id",
-        F.col("type").alias("node_type"), F.col("name").alias("node_name"), "audit_flags",
-    ]
+    watched = active(traps).select(F.col("id").alias("trap_id"), "on", "action", "flag")
     # A repeated flag on a node still is one event per trap.
     flagged = nodes.withColumn("flag", F.explode(F.array_distinct("audit_flags")))
-    if bounded:
-        return flagged.join(F.broadcast(watched), "flag").select(*fields)
-    salts = 64
-    spread_nodes = flagged.withColumn("salt", F.pmod(F.xxhash64("node_id"), F.lit(salts)).cast("int"))
-    copies = watched.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread_nodes.join(copies, ["flag", "salt"]).select(*fields)
+    return flagged.join(watched, "flag").select(
+        "trap_id", "on", "action", "node_id", F.col("type").alias("node_type"), F.col("name").alias("node_name"), "audit_flags"
+    )
 
 
 def summary(events: DataFrame, traps: DataFrame) -> DataFrame:

@@ -375,7 +375,7 @@ def classifier_error_without_rules(spark, sf_dir):
 @CATALOG.query(
     "alert_records",
     f"""{_DECISIONS_SQL} SELECT doc_id, policy_id,
-         'alert_2025-03-04_05-06-07_' || substr(sha256(doc_id::VARCHAR || '|' || policy_id || '|fixed'), 1, 6) AS alert,
+         'alert_2025-03-04_05-06-07_' || substr(sha256(doc_id::VARCHAR || '|' || policy_id || '|fixed'), 1, 24) AS alert,
          'pending' AS delivery_status, NULL::VARCHAR AS delivered_at
        FROM fired WHERE verdict = 'alerted' AND enforcement_mode = 'enforced'""",
 )

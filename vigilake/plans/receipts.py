@@ -42,7 +42,7 @@ def built(spark, sf_dir, **options):
 _RECEIPTS_SQL = f"""WITH {TALK_SQL}, stamped AS (
     SELECT *, TIMESTAMP '2025-01-01 08:00:00' + to_minutes({_MINUTES}) AS ts FROM talk),
   receipts AS (
-    SELECT *, 'rcp_' || strftime(ts, '%Y-%m-%dT%H-%M-%S') || '_' || substr(sha256(exchange_id::VARCHAR), 1, 12) AS receipt_id,
+    SELECT *, 'rcp_' || strftime(ts, '%Y-%m-%dT%H-%M-%S') || '_' || substr(sha256(exchange_id::VARCHAR), 1, 24) AS receipt_id,
            strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS ts_text, strftime(ts + INTERVAL 30 DAY, '%Y-%m-%d') AS retain_until,
            strftime(ts + INTERVAL 30 DAY, '%Y-%m-%dT%H:%M:%S+00:00') AS deletable_after,
            conv_id % 7 = 0 AS legal_hold, 'user' || conv_id AS user_id, 'model-' || (turn % 4) AS model_id
@@ -79,7 +79,7 @@ def receipts_built(spark, sf_dir):
 
 
 # Receipts of documents with one synthetic decision, so that the canonical text can be spelled out in SQL.
-_DOC_OPEN = f"""'{{"actor":{{"user_id":"' || source || '"}},"data_classes_touched":[],"downstream_actions":[],"evidence":{{"capture_method":"http_proxy_intercept","captured_by":"vigilake","receipt_hash":"' || h || '","signature":null}},"external_trace_uri":null,"policy_decisions":[{{"alert_id":null,"enforcement_mode":"enforced","error_reason":null,"evaluated_at":"{NOW_ISO}","matched_classes":[],"policy_id":null,"policy_set_version":"empty","policy_version":null,"redactions_applied":[],"verdict":"allowed","would_have_blocked":null}},{{"alert_id":null,"enforcement_mode":"enforced","error_reason":null,"evaluated_at":"{NOW_ISO}","matched_classes":[],"policy_id":null,"policy_set_version":"empty","policy_version":null,"redactions_applied":[],"verdict":"allowed","would_have_blocked":null}}],"prompt":{{"context_references":[],"text":"Read it","text_hash":"sha256:' || sha256('Read it') || '","text_length_chars":7}},"receipt_id":"rcp_2025-03-04T05-06-07_' || substr(sha256(doc_id::VARCHAR), 1, 12) || '","response":{{"latency_ms":null,"text":' || to_json(text)::VARCHAR || ',"text_hash":"sha256:' || sha256(text) || '","text_length_chars":' || length(text) || ',"tokens_used":null}},"retention":{{"deletable_after":"2032-03-02T05:06:07.000089+00:00","legal_hold":false,"retain_until":"2032-03-02","retention_policy":"default_seven_year"}},"schema_version":"1.1","timestamp":"{NOW_ISO}","tool":{{"model_id":"m","tool_id":"' || lang || '"}}}}'"""
+_DOC_OPEN = f"""'{{"actor":{{"user_id":"' || source || '"}},"data_classes_touched":[],"downstream_actions":[],"evidence":{{"capture_method":"http_proxy_intercept","captured_by":"vigilake","receipt_hash":"' || h || '","signature":null}},"external_trace_uri":null,"policy_decisions":[{{"alert_id":null,"enforcement_mode":"enforced","error_reason":null,"evaluated_at":"{NOW_ISO}","matched_classes":[],"policy_id":null,"policy_set_version":"empty","policy_version":null,"redactions_applied":[],"verdict":"allowed","would_have_blocked":null}},{{"alert_id":null,"enforcement_mode":"enforced","error_reason":null,"evaluated_at":"{NOW_ISO}","matched_classes":[],"policy_id":null,"policy_set_version":"empty","policy_version":null,"redactions_applied":[],"verdict":"allowed","would_have_blocked":null}}],"prompt":{{"context_references":[],"text":"Read it","text_hash":"sha256:' || sha256('Read it') || '","text_length_chars":7}},"receipt_id":"rcp_2025-03-04T05-06-07_' || substr(sha256(doc_id::VARCHAR), 1, 24) || '","response":{{"latency_ms":null,"text":' || to_json(text)::VARCHAR || ',"text_hash":"sha256:' || sha256(text) || '","text_length_chars":' || length(text) || ',"tokens_used":null}},"retention":{{"deletable_after":"2032-03-02T05:06:07.000089+00:00","legal_hold":false,"retain_until":"2032-03-02","retention_policy":"default_seven_year"}},"schema_version":"1.1","timestamp":"{NOW_ISO}","tool":{{"model_id":"m","tool_id":"' || lang || '"}}}}'"""
 _DOC_RECEIPTS_SQL = f"""WITH opened AS (SELECT *, {_DOC_OPEN} AS body FROM (SELECT *, '' AS h FROM documents)),
   hashed AS (SELECT * EXCLUDE (h), 'sha256:' || sha256(body) AS h FROM opened)"""
 

@@ -29,10 +29,15 @@ def with_receipt(raw_receipts: DataFrame, raw: str = "raw") -> DataFrame:
 
 
 def run_dumps(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """External run dumps: each file is one JSON array of runs; (file, pos, run fields)."""
+    """External run dumps: each file is one JSON array of runs; (file, pos, run fields).
+
+    A file that is not such an array stops the job with its name: no run is lost silently.
+    """
     # A dump is one JSON value, which no JSON reader can split; its records spread from the explode on.
     files = _whole(spark, path, "*.json", False)
     runs = F.from_json("value", f"array<{schemas.RUN}>")
+    failed = F.raise_error(F.concat(F.lit("not a run dump: "), F.col("_metadata.file_path")))
+    runs = F.coalesce(runs, failed.cast(f"array<{schemas.RUN}>"))
     exploded = files.select(F.col("_metadata.file_path").alias("file"), F.posexplode(runs).alias("pos", "run"))
     return exploded.select("file", F.col("pos").cast("bigint").alias("pos"), "run.*")
 

@@ -45,8 +45,8 @@ def siem_lines(receipts: DataFrame) -> DataFrame:
 
 
 def live_traps(nodes: DataFrame, trap_table: DataFrame) -> DataFrame:
-    """Trap events of nodes as they arrive; the static trap table is small config."""
-    return traps.match(nodes, trap_table, bounded=True)
+    """Trap events of nodes as they arrive; the trap table is static."""
+    return traps.match(nodes, trap_table)
 
 
 def masked_chunks(chunks: DataFrame) -> DataFrame:
