@@ -24,6 +24,7 @@ THRESHOLD = 0.95
 MISS = 0.002  # expected share of pairs at the threshold that meet in no bucket
 PROBES = 2  # buckets per table that a vector is posted in, best first
 BLOCK = 256  # vectors of a bucket that are compared at a time
+GROUP = 2_000  # rows of small buckets that go to one call
 BUCKET_LOAD = 8  # vectors a bucket should hold if they were spread evenly
 
 
@@ -121,9 +122,6 @@ def usable(vector: str) -> F.Column:
     return F.coalesce((F.size(parts) > 0) & ~F.exists(parts, bad) & F.exists(parts, lambda v: v != 0), F.lit(False))
 
 
-CLASS = "bigint"
-
-
 def near_links(classes: DataFrame, rows_by_dim: dict[int, int], threshold: float = THRESHOLD) -> DataFrame:
     """(kind, a, b, n) from ``classes`` (cls, dim, vec, weight), distinct usable vectors.
 
@@ -155,12 +153,17 @@ def near_links(classes: DataFrame, rows_by_dim: dict[int, int], threshold: float
     spread = cut.select("dim", "slot", "bucket", "cls", "own", F.inline(meetings))
     full = spread.join(classes.select("cls", "vec", "weight"), "cls")
 
+    # Most buckets are tiny: about GROUP rows of many buckets are compared in one call.
+    parts = max(1, math.ceil(sizes.agg(F.sum("n")).first()[0] / GROUP)) if sizes.limit(1).count() else 1
+    grouped = full.withColumn("part", F.pmod(F.xxhash64("slot", "bucket", "left", "right"), F.lit(parts)))
+
     def compare(keys: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        dim, slot, left, right = int(keys[0]), int(keys[1]), int(keys[3]), int(keys[4])
-        group = group.sort_values("cls", ignore_index=True)
+        group = group.sort_values(["slot", "bucket", "left", "right", "cls"], ignore_index=True)
         x = unit_rows(list(group["vec"]))
-        probes = plans[dim].buckets(x)
+        probes = plans[int(keys[0])].buckets(x)
         own, cls, weight = group["own"].to_numpy(), group["cls"].to_numpy(), group["weight"].to_numpy()
+        places = group[["slot", "bucket", "left", "right"]].to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], (places[1:] != places[:-1]).any(axis=1)]))
         counts, edges = np.zeros(len(group), np.int64), []
         tree = list(range(len(group)))
 
@@ -170,32 +173,32 @@ def near_links(classes: DataFrame, rows_by_dim: dict[int, int], threshold: float
                 i = tree[i]
             return i
 
-        for at in range(0, len(group), BLOCK):
-            close = x[at : at + BLOCK] @ x.T >= threshold
-            i, j = np.nonzero(close)
-            i += at
-            keep = (i < j) & ((own[i] == left) & (own[j] == right) | (own[i] == right) & (own[j] == left))
-            i, j = i[keep], j[keep]
-            # Count a pair only in the first table and bucket where it meets.
-            for k in range(0, len(i), 65_536):
-                a, b = i[k : k + 65_536], j[k : k + 65_536]
-                same = (probes[a][:, :, :, None] == probes[b][:, :, None, :]).any(axis=3)
-                first = same.any(axis=2).argmax(axis=1)
-                mine = first == slot
-                within = np.take_along_axis(same, first[:, None, None], 1)[:, 0].argmax(axis=1)
-                mine &= probes[a, first, within] == int(keys[2])
-                a, b = a[mine], b[mine]
-                np.add.at(counts, a, weight[b])
-                np.add.at(counts, b, weight[a])
-                for p, q in zip(a.tolist(), b.tolist(), strict=True):
-                    p, q = root(p), root(q)
-                    if p != q:
-                        tree[max(p, q)] = min(p, q)
-                        edges.append((1, cls[p], cls[q], 0))
+        for begin, end in zip(starts, [*starts[1:], len(group)], strict=True):
+            slot, bucket, left, right = places[begin].tolist()
+            for at in range(begin, end, BLOCK):
+                i, j = np.nonzero(x[at : min(at + BLOCK, end)] @ x[begin:end].T >= threshold)
+                i, j = i + at, j + begin
+                keep = (i < j) & ((own[i] == left) & (own[j] == right) | (own[i] == right) & (own[j] == left))
+                i, j = i[keep], j[keep]
+                # Count a pair only in the first table and bucket where it meets.
+                for k in range(0, len(i), 65_536):
+                    a, b = i[k : k + 65_536], j[k : k + 65_536]
+                    same = (probes[a][:, :, :, None] == probes[b][:, :, None, :]).any(axis=3)
+                    first = same.any(axis=2).argmax(axis=1)
+                    within = np.take_along_axis(same, first[:, None, None], 1)[:, 0].argmax(axis=1)
+                    mine = (first == slot) & (probes[a, first, within] == bucket)
+                    a, b = a[mine], b[mine]
+                    np.add.at(counts, a, weight[b])
+                    np.add.at(counts, b, weight[a])
+                    for p, q in zip(a.tolist(), b.tolist(), strict=True):
+                        p, q = root(p), root(q)
+                        if p != q:
+                            tree[max(p, q)] = min(p, q)
+                            edges.append((1, cls[p], cls[q], 0))
         rows = [(0, cls[i], -1, counts[i]) for i in np.flatnonzero(counts)] + edges
         return pd.DataFrame(rows, columns=["kind", "a", "b", "n"])
 
-    return full.groupBy("dim", "slot", "bucket", "left", "right").applyInPandas(compare, "kind int, a bigint, b bigint, n bigint")
+    return grouped.groupBy("dim", "part").applyInPandas(compare, "kind int, a bigint, b bigint, n bigint")
 
 
 def dedup(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
