@@ -7,7 +7,7 @@ consistently, one value of the item always to one value of the document.
 """
 
 import re
-from bisect import bisect_left
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,55 +37,110 @@ UNITS = frozenset(
     "eur usd gbp euro euros dollar dollars cent cents percent degrees degree kmh mph hz khz mhz ghz kb mb gb tb w kw v".split()
 )
 SIGNS = frozenset("$€£¥%°")
+STOPS = frozenset(".!?\n")
 
 NEAR = 40
 
-# Numbers with their separators, words with inner apostrophes or hyphens, unit signs, sentence ends.
-TOKEN = re.compile(r"\d[\d.,]*\d|\d|[^\W\d_]+(?:['’-][^\W\d_]+)*|[$€£¥%°]|[.!?\n]")
+# Words with inner apostrophes or hyphens, numbers with their separators, unit signs and sentence ends.
+TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d(?:[\d.,]*\d)?|[$€£¥%°.!?\n]")
 NUMBER_WORDS = frozenset("one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split())
 
 
-def template(text: str) -> tuple[list[str], list[str]]:
-    """(template tokens, the words behind them).
+# Kinds of words, as bits: ends a sentence; is a placeholder wherever it stands; may be a name; begins with a letter.
+STOP, SLOT, CAPITAL, LETTER = 1, 2, 4, 8
+# Words whose codes are kept per task; beyond that the store starts afresh with the next text.
+KEPT_WORDS = 500_000
+
+
+class Words(dict):
+    """Codes of the words met so far, with the hash of each one's template token and its kind."""
+
+    def __init__(self):
+        super().__init__()
+        self.forget()
+
+    def forget(self):
+        self.clear()
+        self.hashes, self.kinds = array("Q"), array("B")
+
+    def __missing__(self, word: str) -> int:
+        token, first = word.lower(), word[0]
+        if first.isalpha():
+            kind = LETTER
+            if token in NUMBER_WORDS:
+                token, kind = NUMBER, LETTER | SLOT
+            else:
+                if first.isupper() and not word.isupper():
+                    kind |= CAPITAL
+                if token in UNITS:
+                    token, kind = UNIT, kind | SLOT
+        elif word in SIGNS:
+            token, kind = UNIT, SLOT
+        elif word in STOPS:
+            kind = STOP
+        else:
+            token, kind = NUMBER, SLOT
+        code = self[word] = len(self.kinds)
+        self.hashes.append(xxhash.xxh64_intdigest(token))
+        self.kinds.append(kind)
+        return code
+
+
+NAME_HASH = np.uint64(xxhash.xxh64_intdigest(NAME))
+
+
+@dataclass
+class Template:
+    """A text's template: a hash for each token, which of them are placeholders, and the words behind them."""
+
+    hashes: np.ndarray
+    slots: np.ndarray
+    found: list[str]
+    places: np.ndarray
+
+    def values(self, begin: int, width: int) -> list[str]:
+        """The words behind the placeholders of a window, lower-cased."""
+        at = begin + np.flatnonzero(self.slots[begin : begin + width])
+        return [self.found[i].lower() for i in self.places[at]]
+
+
+def template(text: str, words: Words) -> Template:
+    """The template of a text.
 
     A capitalised word inside a sentence is a name. A sentence's first word is one only
     if the same word is a name within NEAR tokens: what a passage becomes must not
     depend on text far from it.
     """
+    if len(words) > KEPT_WORDS:
+        words.forget()
     found = TOKEN.findall(text)
-    names: dict[str, list[int]] = {}
-    for i in range(1, len(found)):
-        word, before = found[i], found[i - 1]
-        if word[0].isupper() and not word.isupper() and before[0].isalpha():
-            names.setdefault(word, []).append(i)
-    tokens, words = [], []
-    for i, word in enumerate(found):
-        if word in ".!?\n":
-            continue
-        lower = word.lower()
-        if word[0].isdigit() or lower in NUMBER_WORDS:
-            tokens.append(NUMBER)
-        elif word in names and _near(names[word], i):
-            tokens.append(NAME)
-        elif word in SIGNS or lower in UNITS:
-            tokens.append(UNIT)
-        else:
-            tokens.append(lower)
-        words.append(lower)
-    return tokens, words
-
-
-def _near(places: list[int], i: int) -> bool:
-    at = bisect_left(places, i)
-    return (at < len(places) and places[at] - i <= NEAR) or (at > 0 and i - places[at - 1] <= NEAR)
-
-
-def window_hashes(tokens: list[str], width: int, known: dict) -> np.ndarray:
+    if not found:
+        return Template(np.zeros(0, np.uint64), np.zeros(0, bool), [], np.zeros(0, np.int64))
+    codes = np.fromiter(map(words.__getitem__, found), np.int64, len(found))
+    # Views, not kept: the stores grow with the next text.
+    kinds, hashed = np.frombuffer(words.kinds, np.uint8)[codes], np.frombuffer(words.hashes, np.uint64)[codes]
+    capital = kinds & CAPITAL != 0
+    name = capital.copy()
+    name[:1] = False
+    name[1:] &= kinds[:-1] & LETTER != 0
+    # Word and place in one number: neighbours in its order are the nearest places of the same word.
+    where = codes * (len(found) + NEAR + 1) + np.arange(len(found))
+    named, first = np.sort(where[name]), np.flatnonzero(capital & ~name)
+    if len(named) and len(first):
+        at = np.searchsorted(named, where[first])
+        after = named[np.minimum(at, len(named) - 1)] - where[first]
+        before = where[first] - named[np.maximum(at - 1, 0)]
+        name[first] = ((after >= 0) & (after <= NEAR)) | ((before >= 0) & (before <= NEAR))
+    places = np.flatnonzero(kinds & STOP == 0)
+    hashes = np.where(name, NAME_HASH, hashed)
+    return Template(hashes[places], (name | (kinds & SLOT != 0))[places], found, places)
+
+
+def window_hashes(hashed: np.ndarray, width: int) -> np.ndarray:
     """Hash of every window of ``width`` tokens, from the tokens' own hashes."""
-    if len(tokens) < width:
+    if len(hashed) < width:
         return np.zeros(0, np.uint64)
-    hashed = np.fromiter((known.get(t) or known.setdefault(t, xxhash.xxh64_intdigest(t)) for t in tokens), np.uint64, len(tokens))
-    size, out = len(tokens) - width + 1, np.zeros(len(tokens) - width + 1, np.uint64)
+    size, out = len(hashed) - width + 1, np.zeros(len(hashed) - width + 1, np.uint64)
     with np.errstate(over="ignore"):
         for j in range(width):
             out = out * np.uint64(0x9E3779B97F4A7C15) + hashed[j : j + size]
@@ -97,11 +152,6 @@ def is_slot(token: str) -> bool:
     return token in (NUMBER, NAME, UNIT)
 
 
-def windows(tokens: list[str], words: list[str], width: int, at: np.ndarray) -> Iterator[list[str]]:
-    for i in at:
-        yield [words[j] for j in range(i, i + width) if is_slot(tokens[j])]
-
-
 @dataclass
 class Leaks:
     """Settings of a search; see :func:`matches`."""
@@ -115,17 +165,15 @@ BENCH = "width int, hash bigint, item_id bigint, place int, slots array<string>"
 FOUND = "width int, hash bigint, __row bigint, place int, slots array<string>"
 
 
-def _windows_of(ids, texts, widths, keep, known) -> pd.DataFrame:
+def _windows_of(ids, texts, widths, keep, words: Words) -> pd.DataFrame:
     """Rows (width, hash, id, place, slots) of the windows that ``keep`` accepts."""
     rows = []
     for key, text in zip(ids, texts, strict=True):
-        tokens, words = template(text or "")
-        for width in widths(len(tokens)):
-            hashes = window_hashes(tokens, width, known)
+        made = template(text or "", words)
+        for width in widths(len(made.hashes)):
+            hashes = window_hashes(made.hashes, width)
             at = keep(width, hashes)
-            rows.extend((width, int(h), key, int(i), s) for i, h, s in zip(at, hashes[at].view(np.int64), windows(tokens, words, width, at), strict=True))
-        if len(known) > 500_000:
-            known.clear()
+            rows.extend((width, h, key, i, made.values(i, width)) for i, h in zip(at.tolist(), hashes[at].view(np.int64).tolist(), strict=True))
     return pd.DataFrame(rows, columns=["width", "hash", "id", "place", "slots"])
 
 
@@ -139,9 +187,9 @@ def benchmark_windows(benchmark: DataFrame, settings: Leaks = Leaks(), item: str
         def widths(n):
             return [settings.width] if n >= settings.width else [n] if n >= settings.shortest else []
 
-        known: dict = {}
+        words = Words()
         for batch in batches:
-            made = _windows_of(batch["item_id"], batch["text"], widths, lambda _, h: np.arange(len(h)), known)
+            made = _windows_of(batch["item_id"], batch["text"], widths, lambda _, h: np.arange(len(h)), words)
             yield made.rename(columns={"id": "item_id"})
 
     rows = benchmark.where(F.col(item).isNotNull() & F.col(text).isNotNull()).select(F.col(item).cast("bigint").alias("item_id"), F.col(text).cast("string").alias("text"))
@@ -168,7 +216,7 @@ def matches(docs: DataFrame, bench: DataFrame, key: str, text: str, settings: Le
     sent = spark.sparkContext.broadcast(by_width)
 
     def cut(batches):
-        known: dict = {}
+        words = Words()
         table_of = sent.value
 
         def keep(width, hashes):
@@ -181,7 +229,7 @@ def matches(docs: DataFrame, bench: DataFrame, key: str, text: str, settings: Le
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at : at + 500]
-                made = _windows_of(part["__row"], part["text"], lambda n: [w for w in lengths if w <= n], keep, known)
+                made = _windows_of(part["__row"], part["text"], lambda n: [w for w in lengths if w <= n], keep, words)
                 yield made.rename(columns={"id": "__row"})
 
     rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("__row"), F.col(text).cast("string").alias("text"))
