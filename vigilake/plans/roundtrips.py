@@ -9,11 +9,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from vigilake.operators import receipts, reports, trace, traps
+from vigilake.operators import classify, receipts, registry, reports, trace, traps
 from vigilake.operators.exchange import evaluate_exchanges
 from vigilake.plans import conversations, traces
 from vigilake.plans import receipts as receipt_plans
-from vigilake.plans.base import CLOCK, TALK_POLICIES, TOPIC, Catalog, exchanges, table
+from vigilake.plans.base import CLOCK, FLAGS_SQL, PII, PII_PATTERNS, TALK_POLICIES, TOPIC, Catalog, exchanges, table
 from vigilake.plans.evaluation import CATALOG as EVALUATION
 from vigilake.session import checkpoint_dir
 from vigilake.sinks import files as sinks
@@ -108,6 +108,87 @@ def stored_trap_events(spark, sf_dir):
     return spark.read.schema(texts).json(path).withColumn("audit_flags", F.array_join("audit_flags", ","))
 
 
+@CATALOG.query(
+    "receipt_tree",
+    f"""{receipt_plans._RECEIPTS_SQL} SELECT CASE WHEN exchange_id % 7 <> 3 THEN receipt_id END AS receipt_id,
+          CASE WHEN exchange_id % 7 <> 3 THEN ts::DATE END AS day, CASE WHEN exchange_id % 7 = 3 THEN 'FAIL' ELSE 'OK' END AS status
+        FROM receipts""",
+)
+def receipt_tree(spark, sf_dir):
+    """A file per receipt; every seventh was cut off while it was written and must be reported, not lost."""
+    path = fresh(spark, "receipt-tree")
+    built = receipt_plans.built(spark, sf_dir)
+    raw = F.when(F.col("exchange_id") % 7 == 3, F.substring("raw", 1, 40)).otherwise(F.col("raw"))
+    built.select("day", raw.alias("value")).write.partitionBy("day").option("maxRecordsPerFile", 1).text(path)
+    stored = receipts.verify(files.with_receipt(files.receipt_files(spark, path, "*.txt")))
+    return stored.select("receipt.receipt_id", "day", "status")
+
+
+@CATALOG.query(
+    "run_dump_nodes",
+    """SELECT dump, pos AS line_no, l_orderkey || '-' || l_linenumber AS node_id, 'o' || l_orderkey AS parent_id, type,
+          concat_ws(',', CASE WHEN type = 'NODE_TOOL' AND nth > 1 THEN 'FLAG_CIRCULAR_REASONING' END,
+                    CASE WHEN l_quantity > 45 THEN 'FLAG_CRITICAL_FAILURE' END) AS audit_flags
+        FROM (SELECT *, row_number() OVER (PARTITION BY dump, type = 'NODE_TOOL', l_partkey ORDER BY pos) AS nth FROM (
+          SELECT *, l_orderkey // 100 AS dump, row_number() OVER (PARTITION BY l_orderkey // 100 ORDER BY l_orderkey, l_linenumber, l_linestatus, '{"part":' || l_partkey || '}',
+                   CASE WHEN l_quantity > 45 THEN 'too many' WHEN l_quantity > 40 THEN '' END NULLS FIRST, l_shipdate) - 1 AS pos,
+                 CASE l_linenumber % 3 WHEN 0 THEN 'NODE_TOOL' WHEN 1 THEN 'CLUSTER' ELSE 'NODE_LOGIC' END AS type FROM lineitem))""",
+)
+def run_dump_nodes(spark, sf_dir):
+    """Line items as runs, in a dump file for every hundred orders."""
+    path = fresh(spark, "run-dumps")
+    run = F.struct("run_id", "parent_run_id", "run_type", "name", "inputs", "outputs", "error", "start_time", "end_time")
+    runs = traces.runs(spark, sf_dir).select(F.floor(F.col("pos") / 1000).alias("dump"), "pos", run.alias("run"))
+    # A dump has the runs of a hundred orders, whatever the size of the table.
+    dumps = runs.groupBy("dump").agg(F.array_sort(F.collect_list(F.struct("pos", "run"))).alias("runs"))
+    value = F.to_json(F.transform("runs", lambda r: r["run"]))
+    dumps.select("dump", value.alias("value")).write.partitionBy("dump").text(path)
+    nodes = trace.ingest_runs(files.run_dumps(spark, path, "*.txt"))
+    dump = F.regexp_extract("file", "dump=([0-9]+)", 1).cast("bigint")
+    return nodes.select(dump.alias("dump"), "line_no", "node_id", "parent_id", "type", F.array_join("audit_flags", ",").alias("audit_flags"))
+
+
+@CATALOG.query("registry_files", f"SELECT project, task FROM ({traces._TASK_SQL}) WHERE project = 'secure' AND NOT broken")
+def registry_files(spark, sf_dir):
+    """A task per file in a folder per project; broken files are not in the snapshot."""
+    path = fresh(spark, "registry")
+    tasks = traces.tasks(spark, sf_dir).select(F.col("project").alias("of"), F.col("raw").alias("value"))
+    tasks.write.partitionBy("of").option("maxRecordsPerFile", 1).text(path)
+    found = registry.snapshot(files.registry_tasks(spark, path, "*.txt"), "of=secure")
+    return found.select(F.substring_index("project", "=", -1).alias("project"), "task")
+
+
+@CATALOG.query(
+    "session_directory",
+    f"""{traces._HOOKS_SQL} SELECT 'h' || (line_no % 2) AS host, 's' || (line_no % 6) AS session_id, node_id, type, flags AS audit_flags, outputs FROM nodes""",
+)
+def session_directory(spark, sf_dir):
+    """Nodes in a folder per host and session, all read in one scan."""
+    path = fresh(spark, "sessions")
+    at = {"host": F.concat(F.lit("h"), F.col("line_no") % 2), "session": F.concat(F.lit("s"), F.col("line_no") % 6)}
+    sinks.write_nodes(traces.nodes(spark, sf_dir).withColumns(at), path, by=("host", "session"))
+    read = lines.session_nodes(spark, path, "*.txt")
+    return read.select(
+        F.substring_index("host", "=", -1).alias("host"), F.substring_index("session_id", "=", -1).alias("session_id"),
+        "node_id", "type", F.array_join("audit_flags", ",").alias("audit_flags"), "outputs",
+    )
+
+
+@CATALOG.query(
+    "text_file_hits",
+    f"""WITH {FLAGS_SQL} SELECT sha256(text || chr(10)) AS text_sha, n_card, n_email, n_ip FROM flags WHERE text IS NOT NULL""",
+)
+def text_file_hits(spark, sf_dir):
+    """A file per document, each read whole as a prompt and classified."""
+    path = fresh(spark, "texts")
+    texts = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("text")
+    texts.write.option("maxRecordsPerFile", 1).text(path)
+    read = files.text_files(spark, path).select(F.col("prompt").alias("text"))
+    hits = classify.with_hits(read, "text", [PII], "prompt")
+    count = lambda c: F.size(F.filter("hits", lambda h: h["cls"] == c)).cast("bigint").alias(f"n_{c[4:]}")
+    return hits.select(F.sha2("text", 256).alias("text_sha"), *[count(c) for c in PII_PATTERNS])
+
+
 # --- streams: the tables arrive as files -------------------------------------
 
 
@@ -122,10 +203,10 @@ def staged(spark, df, name: str):
     return as_stream(spark, path, df.schema)
 
 
-def drained(spark, stream, name: str, schema: str):
+def drained(spark, stream, name: str, schema: str, query_name: str | None = None):
     """Run a stream over everything that is there and read what it wrote."""
     path = fresh(spark, f"out-{name}")
-    query = jobs.start_files(stream, path, f"{name}-{uuid.uuid4().hex}", "parquet", once=True)
+    query = jobs.start_files(stream, path, query_name or f"{name}-{uuid.uuid4().hex}", "parquet", once=True)
     query.awaitTermination()
     return spark.read.schema(schema).parquet(path)
 
@@ -192,12 +273,14 @@ def stream_circular(spark, sf_dir):
 
 @CATALOG.query("stream_assembly", conversations.CATALOG.sql["sse_assembly"])
 def stream_assembly(spark, sf_dir):
-    chunks = conversations.event_chunks(spark, sf_dir)
-    path = fresh(spark, "in-chunks")
+    """Every third stream never sends its last chunk; its text is read from the state of the stopped run."""
+    ends = F.col("last") & (F.col("stream_id") % 3 != 0)
+    chunks = conversations.event_chunks(spark, sf_dir).withColumn("last", ends)
+    path, name = fresh(spark, "in-chunks"), f"assembled-{uuid.uuid4().hex}"
     chunks.repartition(4, "stream_id").write.parquet(path)
     stream = spark.readStream.schema(chunks.schema).parquet(path)
-    done = drained(spark, jobs.assembled_streams(stream), "assembled", jobs.ASSEMBLED)
-    return done.select(F.col("stream_id").cast("bigint").alias("stream_id"), "vendor", F.sha2("text", 256).alias("text_sha"))
+    done = drained(spark, jobs.assembled_streams(stream), "assembled", jobs.ASSEMBLED, name)
+    return done.union(jobs.open_streams(spark, name)).select(F.col("stream_id").cast("bigint").alias("stream_id"), "vendor", F.sha2("text", 256).alias("text_sha"))
 
 
 @CATALOG.query("stream_masked_chunks", EVALUATION.sql["mask_labelled_dates"])

@@ -20,14 +20,18 @@ def write_receipt_table(built: DataFrame, path: str, mode: str = "append") -> No
     built.select("receipt", "raw", "day").write.mode(mode).partitionBy("day").parquet(path)
 
 
-def write_nodes(nodes: DataFrame, path: str, mode: str = "append") -> None:
-    """Trace nodes as JSON lines with their nulls; inputs and outputs as JSON, not as text."""
+def write_nodes(nodes: DataFrame, path: str, mode: str = "append", by: tuple[str, ...] = ()) -> None:
+    """Trace nodes as JSON lines with their nulls; inputs and outputs as JSON, not as text.
+
+    ``by`` names columns that become folders, such as host and session.
+    """
     members = F.struct(
         "timestamp", "node_id", "parent_id", "type", "name",
         F.try_parse_json("inputs").alias("inputs"), F.try_parse_json("outputs").alias("outputs"),
         "provenance", "audit_flags",
     )
-    nodes.select(F.to_json(members, {"ignoreNullFields": "false"}).alias("value")).write.mode(mode).text(path)
+    line = F.to_json(members, {"ignoreNullFields": "false"})
+    nodes.select(*by, line.alias("value")).write.mode(mode).partitionBy(*by).text(path)
 
 
 def write_trap_events(events: DataFrame, path: str, mode: str = "append") -> None:

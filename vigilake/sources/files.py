@@ -10,9 +10,9 @@ def _whole(spark: SparkSession, path: str | list[str], glob: str, recursive: boo
     return spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=recursive)
 
 
-def receipt_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Receipt tree: (path, raw), one row per ``*.json`` file at any depth, readable or not."""
-    files = _whole(spark, path, "*.json", True)
+def receipt_files(spark: SparkSession, path: str | list[str], glob: str = "*.json") -> DataFrame:
+    """Receipt tree: (path, raw), one row per file at any depth whose name fits ``glob``, readable or not."""
+    files = _whole(spark, path, glob, True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
 
 
@@ -28,13 +28,13 @@ def with_receipt(raw_receipts: DataFrame, raw: str = "raw") -> DataFrame:
     return typed.withColumn("day", F.to_date(F.substring("receipt.timestamp", 1, 10)))
 
 
-def run_dumps(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def run_dumps(spark: SparkSession, path: str | list[str], glob: str = "*.json") -> DataFrame:
     """External run dumps: each file is one JSON array of runs; (file, pos, run fields).
 
     A file that is not such an array stops the job with its name: no run is lost silently.
     """
     # A dump is one JSON value, which no JSON reader can split; its records spread from the explode on.
-    files = _whole(spark, path, "*.json", False)
+    files = _whole(spark, path, glob, False)
     runs = F.from_json("value", f"array<{schemas.RUN}>")
     failed = F.raise_error(F.concat(F.lit("not a run dump: "), F.col("_metadata.file_path")))
     runs = F.coalesce(runs, failed.cast(f"array<{schemas.RUN}>"))
@@ -42,9 +42,9 @@ def run_dumps(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return exploded.select("file", F.col("pos").cast("bigint").alias("pos"), "run.*")
 
 
-def registry_tasks(spark: SparkSession, root: str) -> DataFrame:
-    """Task files under ``root/<project>/*.json``: (project, file, raw)."""
-    files = _whole(spark, root, "*.json", True)
+def registry_tasks(spark: SparkSession, root: str, glob: str = "*.json") -> DataFrame:
+    """Task files under ``root/<project>/``: (project, file, raw)."""
+    files = _whole(spark, root, glob, True)
     parts = F.split("_metadata.file_path", "/")
     return files.select(
         F.try_element_at(parts, F.lit(-2)).alias("project"),

@@ -57,9 +57,9 @@ def nodes(lines: DataFrame) -> DataFrame:
     )
 
 
-def session_nodes(spark: SparkSession, root: str) -> DataFrame:
-    """Nodes of all sessions under ``root/<host>/<session>/*.jsonl``, with host and session_id."""
-    read = nodes(read_lines(spark, root, "*.jsonl", recursive=True))
+def session_nodes(spark: SparkSession, root: str, glob: str = "*.jsonl") -> DataFrame:
+    """Nodes of all sessions under ``root/<host>/<session>/``, with host and session_id."""
+    read = nodes(read_lines(spark, root, glob, recursive=True))
     parts = F.split("file", "/")
     return read.withColumns(
         {"host": F.try_element_at(parts, F.lit(-3)), "session_id": F.try_element_at(parts, F.lit(-2))}

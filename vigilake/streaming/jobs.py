@@ -137,6 +137,17 @@ def assembled_streams(chunks: DataFrame, idle_ms: int = 60_000) -> DataFrame:
     )
 
 
+def open_streams(spark: SparkSession, name: str) -> DataFrame:
+    """Text so far of the streams that a stopped run of assembled_streams() left open.
+
+    A run over what is there ends before anything can be idle, so a stream without its
+    ``last`` chunk stays in the state of the query ``name``, where the next run goes on.
+    """
+    state = spark.read.format("statestore").load(f"{checkpoint_dir(spark).rstrip('/')}/{name}")
+    left = state.select("key.stream_id", "value.groupState.vendor", "value.groupState.text")
+    return left.where("text <> ''")
+
+
 def audited_streams(
     assembled: DataFrame, taxonomies: list[Taxonomy], policy_set: PolicySet, clock: Clock
 ) -> DataFrame:
