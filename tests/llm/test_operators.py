@@ -227,6 +227,23 @@ def test_passages_are_found_and_cut(spark):
         assert kept[i].n_chars == len(kept[i].text)
 
 
+def test_spans_inside_a_failed_span_are_found():
+    rng = np.random.default_rng(4)
+    hashes = lambda words: passages.shingle_hashes(" ".join(words).encode(), 5).astype(np.uint32)
+    for size, place in ((52, 8), (56, 12), (60, 14), (66, 18)):  # one changed word near an end
+        words = [f"w{x}" for x in rng.integers(0, 10**9, size)]
+        edited = [*words[:place], "changed", *words[place + 1 :]]
+        around = lambda w: [*(f"x{x}" for x in rng.integers(0, 10**9, 30)), *w, *(f"y{x}" for x in rng.integers(0, 10**9, 30))]
+        assert passages.similar_spans(hashes(around(edited)), hashes(around(words)), passages.DEFAULT) == [(30, 30 + size - 5)]
+    # 80 equal words, then text with every 27th word changed.
+    words = [f"w{x}" for x in rng.integers(0, 10**9, 400)]
+    edited = [f"c{i}" if i >= 80 and (i - 80) % 27 == 13 else w for i, w in enumerate(words)]
+    spans = passages.similar_spans(hashes(edited), hashes(words), passages.DEFAULT)
+    assert spans and spans[0][0] == 0 and spans[0][1] >= 75
+    # 45 equal words are no passage.
+    assert passages.similar_spans(hashes(around(words[:45])), hashes(around(words[:45])), passages.DEFAULT) == []
+
+
 def test_passages_odd_tables(spark):
     kept = passages.remove(odd_docs(spark)).collect()
     assert sorted(r.doc_id or 0 for r in kept) == [0, 0, 1, 1, 3, 4, 5, 6, 7, 8]
