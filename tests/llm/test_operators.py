@@ -244,6 +244,24 @@ def test_spans_inside_a_failed_span_are_found():
     assert passages.similar_spans(hashes(around(words[:45])), hashes(around(words[:45])), passages.DEFAULT) == []
 
 
+def test_copies_behind_a_looser_variant_meet(spark):
+    """Documents 20 and 30 of a group share a passage; an earlier one has it with every 20th or 30th word changed, or a part of it."""
+    rows, rng = [], random.Random(8)
+    for g in range(60):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(60)]
+        step = 20 if g % 2 else 30
+        if g < 40:
+            loose = [f"x{rng.randrange(10**9)}" if i % step == step // 2 else w for i, w in enumerate(words)]
+        else:
+            loose = words[:48] if g % 2 else words[11:]
+        for k, passage in ((1, loose), (20, words), (30, words)):
+            text = [*(f"p{rng.randrange(10**9)}" for _ in range(40)), *passage, *(f"q{rng.randrange(10**9)}" for _ in range(40))]
+            rows.append((100 * g + k, " ".join(text), "en", "s", 1))
+    _, spans = passages.repeated(spark.createDataFrame(rows, DOCS))
+    got = {(s.first, s.last) for r in spans.collect() for s in r.spans}
+    assert got == {(40, 99)} and spans.count() == 60
+
+
 def test_passages_odd_tables(spark):
     kept = passages.remove(odd_docs(spark)).collect()
     assert sorted(r.doc_id or 0 for r in kept) == [0, 0, 1, 1, 3, 4, 5, 6, 7, 8]
