@@ -125,6 +125,14 @@ def test_extraction_layouts():
     assert all(kept[n.parent] for i, n in enumerate(parsed[0]) if i and kept[i])
 
 
+def test_stray_quotes_end_with_their_tag():
+    for tag in ("<a href=/it's-here>", '<p class="a"">', '<img alt="5" screen">', "<p title='x''>", '<p "">', "<a b=c\"d'>", '<a href= >', "<p id==\"x>", '<a href="never closed>'):
+        _, runs = extraction.parse(f"<div>before {tag}we don't lose this</div>\n<p>nor that's end</p>")
+        assert "".join(text for _, text in runs) == "before we don't lose this\nnor that's end", tag
+    nodes, runs = extraction.parse("""<p title="a > b" class='x > "y"' data-z = "it's >">text<br/>more</p><p id="open" """)
+    assert [text for _, text in runs] == ["text", "\n", "more"] and [n.tag for n in nodes] == ["#root", "p"]
+
+
 def brute_components(fps, near):
     root = {k: k for k in fps}
     for a in fps:

@@ -42,7 +42,9 @@ ENDS = {
     "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"}), "body": ({"head"}, {"html"}),
 }
 
-MARKUP = re.compile(r"""<(?:!--(?:-?>|(?:.*?)(?:--!?>|\Z))|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*+"|'[^']*+')*+)(>)?)""", re.S)
+# Quotes delimit only right after '='; elsewhere, and where they are never closed, they are ordinary characters.
+VALUE = r"""\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?=>)|[^\s>"'][^\s>]*+)"""
+MARKUP = re.compile(rf"""<(?:!--(?:-?>|(?:.*?)(?:--!?>|\Z))|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:{VALUE})?+)*+)(>)?)""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|aria-label|hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/"'>]|\Z)""", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
