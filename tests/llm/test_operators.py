@@ -201,6 +201,13 @@ def test_vectors_equal_brute_force(spark):
     assert vectors.dedup(df.limit(0)).count() == 0
 
 
+def test_calls_on_crowded_buckets_are_bounded(spark):
+    rows = [(2, slot, 7, cls) for slot in range(4) for cls in range(3_000)] + [(2, 9, bucket, 2 * bucket + k) for bucket in range(5_000) for k in range(2)]
+    calls = vectors.in_calls(spark.createDataFrame(rows, "dim int, slot int, bucket bigint, cls bigint"))
+    sizes = [r["count"] for r in calls.groupBy(*vectors.CALL).count().collect()]
+    assert max(sizes) <= vectors.GROUP + 2 * vectors.BLOCK and sum(sizes) == 4 * 3_000 * 12 + 10_000
+
+
 def test_compact_windows_are_all_windows():
     rng = np.random.default_rng(0)
     values = rng.permutation(200).astype(np.uint64)

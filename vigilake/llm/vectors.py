@@ -122,6 +122,28 @@ def usable(vector: str) -> F.Column:
     return F.coalesce((F.size(parts) > 0) & ~F.exists(parts, bad) & F.exists(parts, lambda v: v != 0), F.lit(False))
 
 
+CALL = ["dim", "part", "own_slot", "own_bucket", "own_left", "own_right"]
+
+
+def in_calls(postings: DataFrame) -> DataFrame:
+    """Postings (dim, slot, bucket, cls) once for each pair of blocks they meet in; ``CALL`` says which are compared in one call.
+
+    Most buckets are tiny: about GROUP rows of many of them are one call. A pair of blocks
+    of a larger bucket is a call of its own, so no call grows with the table.
+    """
+    sizes = staged(postings.groupBy("dim", "slot", "bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
+    parts = max(1, math.ceil((sizes.where(F.col("n") <= BLOCK).agg(F.sum("n")).first()[0] or 0) / GROUP))
+    listed = postings.join(sizes, ["dim", "slot", "bucket"])
+    # A bucket is cut into blocks by a hash; block i meets the blocks j >= i.
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
+    cut = listed.withColumns({"many": blocks > 1, "blocks": blocks, "own": own})
+    meetings = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("left"), F.greatest("own", j).alias("right")))
+    spread = cut.select("dim", "slot", "bucket", "many", "cls", "own", F.inline(meetings))
+    place = {f"own_{c}": F.when(F.col("many"), F.col(c)) for c in ("slot", "bucket", "left", "right")}
+    return spread.withColumns(place).withColumn("part", F.when(~F.col("many"), F.pmod(F.xxhash64("slot", "bucket"), F.lit(parts))))
+
+
 def near_links(classes: DataFrame, rows_by_dim: dict[int, int], threshold: float = THRESHOLD) -> DataFrame:
     """(kind, a, b, n) from ``classes`` (cls, dim, vec, weight), distinct usable vectors.
 
@@ -143,19 +165,7 @@ def near_links(classes: DataFrame, rows_by_dim: dict[int, int], threshold: float
                     })
 
     postings = staged(classes.select("cls", "dim", "vec").mapInPandas(post, "dim int, slot int, bucket bigint, cls bigint").distinct(), "vector-postings")
-    sizes = staged(postings.groupBy("dim", "slot", "bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
-    listed = postings.join(sizes, ["dim", "slot", "bucket"])
-    # A bucket is cut into blocks by a hash; block i meets the blocks j >= i.
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
-    cut = listed.withColumns({"blocks": blocks, "own": own})
-    meetings = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("left"), F.greatest("own", j).alias("right")))
-    spread = cut.select("dim", "slot", "bucket", "cls", "own", F.inline(meetings))
-    full = spread.join(classes.select("cls", "vec", "weight"), "cls")
-
-    # Most buckets are tiny: about GROUP rows of many buckets are compared in one call.
-    parts = max(1, math.ceil(sizes.agg(F.sum("n")).first()[0] / GROUP)) if sizes.limit(1).count() else 1
-    grouped = full.withColumn("part", F.pmod(F.xxhash64("slot", "bucket", "left", "right"), F.lit(parts)))
+    grouped = in_calls(postings).join(classes.select("cls", "vec", "weight"), "cls")
 
     def compare(keys: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["slot", "bucket", "left", "right", "cls"], ignore_index=True)
@@ -198,7 +208,7 @@ def near_links(classes: DataFrame, rows_by_dim: dict[int, int], threshold: float
         rows = [(0, cls[i], -1, counts[i]) for i in np.flatnonzero(counts)] + edges
         return pd.DataFrame(rows, columns=["kind", "a", "b", "n"])
 
-    return grouped.groupBy("dim", "part").applyInPandas(compare, "kind int, a bigint, b bigint, n bigint")
+    return grouped.groupBy(*CALL).applyInPandas(compare, "kind int, a bigint, b bigint, n bigint")
 
 
 def dedup(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
