@@ -2,7 +2,7 @@
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigilake.session import checkpoint_dir
@@ -66,3 +66,22 @@ def components(edges: DataFrame, limit: int = 200) -> DataFrame:
 def _state(edges: DataFrame) -> tuple:
     digest = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
     return tuple(edges.agg(F.count("*"), digest).first())
+
+
+def numbered(df: DataFrame, out: str, name: str) -> DataFrame:
+    """``df`` written once, with dense numbers from 0 in column ``out``.
+
+    Only one row per written partition takes part in the running sum that makes them dense.
+    """
+    first = df.select("*", F.monotonically_increasing_id().alias("__at"))
+    marked = staged(first, name).withColumns({"__part": F.shiftright("__at", 33), "__at": F.col("__at").bitwiseAND((1 << 33) - 1)})
+    sizes = marked.groupBy("__part").agg(F.count("*").alias("__size"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
+    # One row per partition of the table: small whatever the table's size.
+    return marked.join(F.broadcast(offsets), "__part").withColumn(out, F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
+
+
+def int_bytes(values) -> bytes:
+    """A numpy array as little-endian 32-bit integers, the form in which shards hold long arrays."""
+    return values.astype("<i4").tobytes()

@@ -1,7 +1,7 @@
 """The subpackage's registered queries and their SQL."""
 
 import corpus_pipeline
-from vigilake.llm import extraction, langid, mixing, passages, quality, simhash, templates, tokens, vectors, warc
+from vigilake.llm import audit, extraction, langid, mixing, passages, quality, simhash, templates, tokens, vectors, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -14,7 +14,8 @@ QUERIES = {
     "op8_token_counts": tokens.op8_token_counts,
     "op9_decontamination": templates.op9_decontamination,
     "op10_language_id": langid.op10_language_id,
+    "op13_filter_audit": audit.op13_filter_audit,
     "pipeline": corpus_pipeline.run,
 }
 
-SQL = {"op2_mixing": mixing.op2_sql()}
+SQL = {"op2_mixing": mixing.op2_sql(), "op13_filter_audit": audit.op13_sql()}
