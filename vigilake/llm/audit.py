@@ -19,7 +19,14 @@ ORDERS = ["".join(p) for p in permutations(FILTERS)]
 MIN_WORDS = 200
 MIN_DISTINCT_PERCENT = 50
 MAX_CAPITALS_PERCENT = 3
-SYMBOLS = "[#$%&*|]"
+SYMBOLS = b"#$%&*|"
+_CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
+_FOLLOWING = bytes(range(0x80, 0xC0))  # bytes within a code point
+
+
+def measures(data: bytes) -> list[int]:
+    """Capitals A-Z, code points, and symbols of a text in UTF-8."""
+    return [len(data) - len(data.translate(None, _CAPITALS)), len(data.translate(None, _FOLLOWING)), len(data) - len(data.translate(None, SYMBOLS))]
 
 
 def failures(docs: DataFrame, key: str = "doc_id", text: str = "text", part: str = "lang") -> DataFrame:
@@ -31,19 +38,18 @@ def failures(docs: DataFrame, key: str = "doc_id", text: str = "text", part: str
     Other columns of ``docs`` are not looked at, whatever their names.
     """
     data = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    capitals = F.regexp_count(data, F.lit("[A-Z]"))
     labelled = docs.select(
         F.col(f"`{key}`").cast("bigint").alias("key"),
         F.coalesce(F.col(f"`{part}`").cast("string"), F.lit("")).alias("part"),
         F.unhex(F.sha2(data.cast("binary"), 256)).alias("digest"),
-        (100 * capitals.cast("bigint") > MAX_CAPITALS_PERCENT * F.length(data)).alias("c"),
-        data.rlike(SYMBOLS).alias("d"),
         data.alias("text"),
     )
-    matrix, _ = term_matrix(labelled)
+    matrix, _ = term_matrix(labelled, measure=measures)
     a = F.col("__words") < MIN_WORDS
     b = 100 * F.col("__distinct") < MIN_DISTINCT_PERCENT * F.col("__words")
-    rows = row_stats(matrix).select("key", "part", "digest", a.alias("a"), b.alias("b"), "c", "d")
+    c = 100 * F.col("capitals") > MAX_CAPITALS_PERCENT * F.col("points")
+    rows = row_stats(matrix, measures=("capitals", "points", "symbols"))
+    rows = rows.select("key", "part", "digest", a.alias("a"), b.alias("b"), c.alias("c"), (F.col("symbols") > 0).alias("d"))
     # Equal rows are counted before any shuffle, so no repeated row makes a hot key.
     rows = staged(rows.groupBy(*rows.columns).agg(F.count("*").alias("n")), "audit-rows")
     first = rows.groupBy(F.col("digest").alias("same")).agg(F.min("key").alias("first"))
@@ -106,7 +112,7 @@ def op13_sql() -> str:
     return rf"""WITH texts AS (SELECT doc_id, COALESCE(lang, '') AS part, COALESCE(text, '') AS text,
         regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
       flagged AS (SELECT doc_id, part, len(words) < {MIN_WORDS} AS a, 100 * len(list_distinct(words)) < {MIN_DISTINCT_PERCENT} * len(words) AS b,
-        100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > {MAX_CAPITALS_PERCENT} * length(text) AS c, regexp_matches(text, '{SYMBOLS}') AS d,
+        100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > {MAX_CAPITALS_PERCENT} * length(text) AS c, regexp_matches(text, '[{SYMBOLS.decode()}]') AS d,
         doc_id > MIN(doc_id) OVER (PARTITION BY text) AS e FROM texts),
       failing AS (SELECT part, {letters} AS fails, COALESCE(quality = 1, false) AS good, COALESCE(toxic = 1, false) AS toxic
         FROM flagged LEFT JOIN labels USING (doc_id)),

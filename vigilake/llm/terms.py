@@ -4,21 +4,25 @@ Every task packs the documents it reads into shards of bounded size. A shard is
 matrix in compressed sparse rows: one row per document, one column per word, the word's
 occurrences as values. Its columns are first numbered by the shard's own words; each
 shard sends every word once to the dictionary, however often it occurs there, and gets the
-global numbers back. No word is a hot key: it has at most one row per shard.
+global numbers back. The dictionary is built in buckets by a hash of the word, as many as the
+text asks for. No word is a hot key: it comes at most once from each shard.
 """
 
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilake.llm.common import int_bytes, numbered, staged
+from vigilake.llm.common import int_bytes, staged
 
 # Text bytes of a shard; a longer document is a shard of its own.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
+# Text bytes for each bucket of the dictionary.
+BUCKET_BYTES = 64 << 20
 # Bytes split into words at a time: bounds a task's memory for very long texts.
 CHUNK = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -61,30 +65,55 @@ def row_of(data: bytes, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]
     return columns, counts
 
 
-def term_matrix(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
+BLOCKS = "array<struct<bucket: int, places: binary, words: array<binary>>>"
+_BLOCK = pa.struct([("bucket", pa.int32()), ("places", pa.binary()), ("words", pa.list_(pa.binary()))])
+
+
+def by_bucket(words: list[bytes], buckets: int, salt: bytes = b"") -> list[tuple[int, np.ndarray, list[bytes]]]:
+    """(bucket, places in ``words``, words) of every bucket that has any."""
+    start = zlib.crc32(salt)
+    hashes = np.fromiter((zlib.crc32(w, start) for w in words), np.int64, len(words)) % buckets
+    order = np.argsort(hashes, kind="stable")
+    bounds = np.searchsorted(hashes[order], np.arange(buckets + 1))
+    return [(k, order[a:b], [words[i] for i in order[a:b]]) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if a < b]
+
+
+def bucket_count(docs: DataFrame, text: str, bucket_bytes: int) -> int:
+    total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("binary")))).first()[0] or 0
+    return max(1, -(-total // bucket_bytes))
+
+
+def term_matrix(
+    docs: DataFrame, text: str = "text", measure: Callable[[bytes], list[int]] | None = None, shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES
+) -> tuple[DataFrame, DataFrame]:
     """(matrix, dictionary) of the words of ``docs``.
 
     matrix: shard, labels (one struct per row: all columns of ``docs`` but ``text``), indptr,
-    indices (global term ids), counts; the three arrays are little-endian integers of 32, 64
-    and 32 bits. dictionary: word (binary), term_id from 0 on without gaps. A NULL or empty
-    text is a row without entries; an empty table gives no shard. Repeated rows stay rows.
+    indices (global term ids), counts, measures; the arrays are little-endian integers of 32, 64,
+    32 and 64 bits. dictionary: word (binary), term_id. ``measure`` may give each text
+    more numbers. A NULL or empty text is a row without entries; an empty table gives
+    no shard. Repeated rows stay rows.
     """
+    buckets = bucket_count(docs, text, bucket_bytes)
     kept = [c for c in docs.columns if c != text]
     wanted = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("label"), F.col(f"`{text}`").cast("binary").alias("data"))
     label = wanted.schema["label"].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, rows, labels, held = Vocabulary(), [], [], 0
+        vocabulary, rows, labels, measures, held = Vocabulary(), [], [], [], 0
 
         def shard():
             sizes = np.cumsum([0] + [len(c) for c, _ in rows])
             none = [np.empty(0, np.int32)]
+            joint = pa.concat_arrays(labels)
+            blocks = [{"bucket": k, "places": int_bytes(places), "words": words} for k, places, words in by_bucket(list(vocabulary), buckets)]
             columns = {
-                "labels": pa.array([pa.concat_arrays(labels).to_pylist()], pa.list_(labels[0].type)),
+                "labels": pa.ListArray.from_arrays(pa.array([0, len(joint)], pa.int32()), joint),
                 "indptr": pa.array([int_bytes(sizes)], pa.binary()),
                 "indices": pa.array([int_bytes(np.concatenate(none + [c for c, _ in rows]))], pa.binary()),
                 "counts": pa.array([int_bytes(np.concatenate(none + [n for _, n in rows]))], pa.binary()),
-                "words": pa.array([list(vocabulary)], pa.list_(pa.binary())),
+                "measures": pa.array([np.array(measures, "<i8").tobytes()], pa.binary()),
+                "blocks": pa.array([blocks], pa.list_(_BLOCK)),
             }
             return pa.RecordBatch.from_pydict(columns)
 
@@ -95,52 +124,70 @@ def term_matrix(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BY
                 if rows and held + len(data) > shard_bytes:
                     labels.append(batch.column("label").slice(first, i - first))
                     yield shard()
-                    vocabulary, rows, labels, held, first = Vocabulary(), [], [], 0, i
+                    vocabulary, rows, labels, measures, held, first = Vocabulary(), [], [], [], 0, i
                 rows.append(row_of(data, vocabulary))
+                measures.append(measure(data) if measure else [])
                 held += len(data)
             labels.append(batch.column("label").slice(first))
         if rows:
             yield shard()
 
-    schema = f"labels array<{label}>, indptr binary, indices binary, counts binary, words array<binary>"
-    shards = wanted.mapInArrow(pack, schema).select(F.monotonically_increasing_id().alias("shard"), "*")
+    schema = f"labels array<{label}>, indptr binary, indices binary, counts binary, measures binary"
+    shards = wanted.mapInArrow(pack, f"{schema}, blocks {BLOCKS}").select(F.monotonically_increasing_id().alias("shard"), "*")
     shards = staged(shards, "term-shards")
-    words = shards.select("shard", F.posexplode("words").alias("local", "word"))
-    dictionary = numbered(words.select("word").distinct(), "term_id", "dictionary")
+    blocks = shards.select("shard", F.inline("blocks"))
+
+    def numbers(rows: pa.Table) -> tuple[pa.Table, pa.DictionaryArray]:
+        rows = rows.sort_by("shard")  # the same numbers whenever this runs
+        return rows, pa.concat_arrays([x.values for x in rows.column("words")]).dictionary_encode()
+
+    def number(rows: pa.Table) -> pa.Table:
+        rows, encoded = numbers(rows)
+        ids = encoded.indices.to_numpy().astype(np.int64) * buckets + rows.column("bucket")[0].as_py()
+        sizes = np.cumsum([len(x) for x in rows.column("words")])[:-1]
+        return pa.table({"shard": rows.column("shard"), "places": rows.column("places"), "ids": pa.array([x.astype("<i8").tobytes() for x in np.split(ids, sizes)], pa.binary())})
+
+    def listed(rows: pa.Table) -> pa.Table:
+        rows, encoded = numbers(rows)
+        ids = np.arange(len(encoded.dictionary)) * buckets + rows.column("bucket")[0].as_py()
+        return pa.table({"word": encoded.dictionary, "term_id": ids})
+
+    dictionary = blocks.groupBy("bucket").applyInArrow(listed, "word binary, term_id bigint")
+    given = blocks.groupBy("bucket").applyInArrow(number, "shard bigint, places binary, ids binary")
     # A shard's own list of words is as long as the shard, not as the corpus.
-    terms = words.join(dictionary, "word").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("local", "term_id"))).alias("terms"))
-    encoded = shards.drop("words").join(terms.select("shard", F.col("terms.term_id").alias("terms")), "shard", "left")
+    given = given.groupBy("shard").agg(F.collect_list(F.struct("places", "ids")).alias("given"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
                 local = np.frombuffer(row.column("indices")[0].as_buffer(), "<i4")
-                given = row.column("terms")[0]
-                terms = given.values.to_numpy() if given.is_valid else np.empty(0, np.int64)
-                indices = pa.array([terms[local].astype("<i8").tobytes()], pa.binary())
-                columns = {c: row.column(c) for c in ("shard", "labels", "indptr")} | {"indices": indices, "counts": row.column("counts")}
+                known = row.column("given")[0]
+                terms = np.empty(int(local.max(initial=-1)) + 1, "<i8")
+                for block in known.values if known.is_valid else ():
+                    terms[np.frombuffer(block["places"].as_buffer(), "<i4")] = np.frombuffer(block["ids"].as_buffer(), "<i8")
+                columns = {c: row.column(c) for c in ("shard", "labels", "indptr", "indices", "counts", "measures")}
+                columns["indices"] = pa.array([terms[local].tobytes()], pa.binary())
                 yield pa.RecordBatch.from_pydict(columns)
 
-    matrix = encoded.mapInArrow(encode, f"shard bigint, labels array<{label}>, indptr binary, indices binary, counts binary")
-    return matrix, dictionary
+    encoded = shards.drop("blocks").join(given, "shard", "left")
+    return encoded.mapInArrow(encode, f"shard bigint, {schema}"), dictionary
 
 
-def row_stats(matrix: DataFrame, total: str = "__words", distinct: str = "__distinct") -> DataFrame:
-    """One row per matrix row: its label's fields, the sum of its counts and how many are not zero."""
+def row_stats(matrix: DataFrame, total: str = "__words", distinct: str = "__distinct", measures: tuple[str, ...] = ()) -> DataFrame:
+    """One row per matrix row: its label's fields, the sum of its counts, how many are not zero, and its measures."""
     label = matrix.schema["labels"].dataType.elementType
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 indptr = np.frombuffer(batch.column("indptr")[i].as_buffer(), "<i4").astype(np.int64)
-                counts = np.frombuffer(batch.column("counts")[i].as_buffer(), "<i4").astype(np.int64)
-                before = np.concatenate([[0], np.cumsum(counts)])
-                labels = batch.column("labels")[i].values
-                columns = {"label": labels, total: pa.array(before[indptr[1:]] - before[indptr[:-1]]), distinct: pa.array(np.diff(indptr))}
-                yield pa.RecordBatch.from_pydict(columns)
-
-    rows = matrix.mapInArrow(stats, f"label {label.simpleString()}, {total} bigint, {distinct} bigint")
-    return rows.select("label.*", total, distinct)
-
-
+                counts = np.frombuffer(batch.column("counts")[i].as_buffer(), "<i4")
+                before = np.append(0, np.cumsum(counts, dtype=np.int64))
+                columns = {"label": batch.column("labels")[i].values, total: before[indptr[1:]] - before[indptr[:-1]], distinct: np.diff(indptr)}
+                more = np.frombuffer(batch.column("measures")[i].as_buffer(), "<i8").reshape(len(indptr) - 1, -1)
+                yield pa.RecordBatch.from_pydict(columns | {c: more[:, k] for k, c in enumerate(measures)})
+
+    names = [total, distinct, *measures]
+    rows = matrix.mapInArrow(stats, ", ".join([f"label {label.simpleString()}", *[f"{c} bigint" for c in names]]))
+    return rows.select("label.*", *names)
