@@ -6,6 +6,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from vigilake.llm import audit, collocations, exact_repeats, suffixes, terms
@@ -80,7 +81,7 @@ def test_repeats_equal_brute_force(spark, monkeypatch, hot, shard_bytes):
     want = kept_by_brute_force([(t or "").encode() for _, t in rows], 200)
     key = lambda x: (str(x[0]), *x[1:])
     expected = sorted(((i, *w) for (i, _), w in zip(rows, want, strict=True)), key=key)
-    assert sorted(((r.doc_id, r.__n_bytes, r.__n_removed, r.__n_spans, r.__kept_sha256) for r in (x for x in got)), key=key) == expected
+    assert sorted(((r["doc_id"], r["__n_bytes"], r["__n_removed"], r["__n_spans"], r["__kept_sha256"]) for r in got), key=key) == expected
     for r in got:
         assert r["__kept"] is None and not r["__n_removed"] or hashlib.sha256(r["__kept"]).hexdigest() == r["__kept_sha256"]
 
@@ -93,13 +94,13 @@ def test_repeats_query_equals_brute_force(spark):
     assert sum(w[1] for w in want) > 10_000
 
 
-def test_repeats_refuse_names_of_results_and_take_empty_tables(spark):
+def test_repeats_carry_columns_and_take_empty_tables(spark):
     docs = spark.createDataFrame([(1, "x", 2)], "doc_id bigint, text string, rid bigint")
     row = exact_repeats.remove_repeats(docs).first()
     assert (row.rid, row["__n_bytes"], row["__n_removed"]) == (2, 1, 0)
     assert exact_repeats.remove_repeats(docs.where("doc_id > 5")).count() == 0
-    with pytest.raises(ValueError):
-        exact_repeats.remove_repeats(docs.withColumnRenamed("rid", "__kept"))
+    clash = exact_repeats.remove_repeats(docs.withColumnRenamed("rid", "__kept_sha256").withColumn("runs", F.lit("mine")))
+    assert clash.first()["runs"] == "mine" and clash.first()["__kept_sha256"] == hashlib.sha256(b"x").hexdigest()
 
 
 ODD = [

@@ -320,9 +320,10 @@ def op12_sql(support: int = SUPPORT, top: int = TOP) -> str:
     upper, lower = _UPPER.decode(), _UPPER.lower().decode()
     return rf"""WITH pieces AS (SELECT COALESCE(lang, 'und') AS lang,
         UNNEST(string_split_regex(translate(COALESCE(text, ''), '{upper}', '{lower}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
-      split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
-      placed AS (SELECT lang, w, UNNEST(range(1, len(w) + 1)) AS i FROM split),
-      counted AS (SELECT lang, k, w[i:i + k - 1] AS words, COUNT(*) AS f FROM placed, (SELECT UNNEST(range(1, 5)) AS k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+      split AS (SELECT lang, row_number() OVER () AS p, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+      placed AS (SELECT lang, p, UNNEST(w) AS x, generate_subscripts(w, 1) AS i FROM split),
+      led AS (SELECT lang, [x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o] AS w FROM placed WINDOW o AS (PARTITION BY p ORDER BY i)),
+      counted AS (SELECT lang, k, w[1:k] AS words, COUNT(*) AS f FROM led, (SELECT UNNEST(range(1, 5)) AS k) WHERE w[k] IS NOT NULL GROUP BY ALL),
       totals AS (SELECT lang, SUM(f) AS n FROM counted WHERE k = 1 GROUP BY lang),
       candidates AS (SELECT lang, k AS len, words, f AS a FROM counted WHERE k >= 2 AND f >= {support}),
       cuts AS (SELECT c.*, UNNEST(range(1, len)) AS k FROM candidates c),

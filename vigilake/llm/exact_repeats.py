@@ -241,18 +241,16 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, wr
 
     Strings are judged on the texts as they come in. A NULL text is empty; a text shorter than ``length`` stays
     whole, and so do empty tables; every one of several equal longer texts goes whole. Columns of ``docs`` are
-    carried through, so those with the five names above are refused. ``write_first=False``
+    carried through; those with the five names above are replaced. ``write_first=False``
     saves a copy of a table that is read from files and so always comes in the same order. ``__kept``
     is NULL where the whole text stays.
     """
-    given = {"__n_bytes", "__n_removed", "__n_spans", "__kept", "__kept_sha256"}
-    if clash := given & set(docs.columns):
-        raise ValueError(f"columns with names of results: {sorted(clash)}")
+    names = ["__n_bytes", "__n_removed", "__n_spans", "__kept", "__kept_sha256"]
     docs = staged(docs, "repeats-input") if write_first else docs
     runs = single_runs(docs, text, length, **sizes)
     # A list is as long as its own text.
     free = runs.groupBy("rid").agg(F.sum("windows").alias("free"), F.collect_list(F.struct("start", "windows")).alias("runs"))
-    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (text, *names)]
     data = F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b""))
     size = F.octet_length(data).cast("bigint")
     about = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*others).alias("row"), size.alias("size"), F.sha2(data, 256).alias("sha"))
@@ -279,7 +277,6 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, wr
                 values = [pa.array([data.size]), pa.array([data.size - len(kept)]), pa.array([len(spans)]), pa.array([kept], pa.binary()), pa.array([hashlib.sha256(kept).hexdigest()])]
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(i, 1), *values], names=["row", *names])
 
-    names = ["__n_bytes", "__n_removed", "__n_spans", "__kept", "__kept_sha256"]
     some = joined.where(F.col("runs").isNotNull()).select("rid", "row", "runs").join(_placed(docs, text), "rid")
     row = some.schema["row"].dataType.simpleString()
     cut = some.mapInArrow(rest, f"row {row}, __n_bytes bigint, __n_removed bigint, __n_spans bigint, __kept binary, __kept_sha256 string")
