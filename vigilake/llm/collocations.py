@@ -28,7 +28,7 @@ TOP = 2000
 SCALE = 2_000_000
 LONGEST = 4
 # Text bytes of a shard of numbered words.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 # Windows that one merge is meant to take, and occurrences of a pair beyond which its stripe is split.
 BUCKET_ROWS = 400_000
 SPLIT_ROWS = 100_000

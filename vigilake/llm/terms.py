@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from vigilake.llm.common import int_bytes, staged
 
 # Text bytes of a shard; a longer document is a shard of its own.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 # Text bytes for each bucket of the dictionary.
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 16 << 20
 # Bytes split into words at a time: bounds a task's memory for very long texts.
 CHUNK = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
