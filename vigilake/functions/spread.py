@@ -79,3 +79,25 @@ def salted_lookup(
     salted = flagged(left).withColumn("__salt", salt).drop("__hot", "__parts")
     copied = flagged(right).withColumn("__salt", F.explode(copies)).drop("__hot", "__parts")
     return salted.join(copied, [key, "__salt"], how).drop("__salt")
+
+
+def as_of_lookup(left: DataFrame, right: DataFrame, key: str, time: str, bucket, value: str) -> DataFrame:
+    """Rows of ``left`` with the ``value`` that the last ``right`` row of their key had before their time.
+
+    Rows without one are left out. ``bucket(time)`` must not decrease with time. Rows of a key are
+    ordered within their bucket only; what earlier buckets end with is carried over per
+    (key, bucket), of which there are as many as buckets at most, so a key in very many rows is many tasks.
+    """
+    marked = left.withColumns({"__value": F.lit(None), "__known": F.lit(0), "__bucket": bucket(F.col(time))})
+    known = right.where(F.col(value).isNotNull()).select(key, time, F.col(value).alias("__value"), F.lit(1).alias("__known"), bucket(F.col(time)).alias("__bucket"))
+    marked = marked.withColumn("__value", F.col("__value").cast(known.schema["__value"].dataType))
+    # Of equal times the asking row comes first: only what was known before counts.
+    until = Window.partitionBy(key, "__bucket").orderBy(time, "__known").rowsBetween(Window.unboundedPreceding, 0)
+    within = marked.unionByName(known, allowMissingColumns=True).withColumn("__last", F.last("__value", ignorenulls=True).over(until))
+    ends = known.groupBy(key, "__bucket").agg(F.max_by("__value", time).alias("__end"))
+    asked = marked.select(key, "__bucket").distinct().withColumn("__end", F.lit(None).cast(known.schema["__value"].dataType))
+    ends = asked.union(ends).groupBy(key, "__bucket").agg(F.first("__end", ignorenulls=True).alias("__end"))
+    before = Window.partitionBy(key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(key, "__bucket", F.last("__end", ignorenulls=True).over(before).alias("__carried"))
+    found = within.where("__known = 0").join(carried, [key, "__bucket"]).withColumn(value, F.coalesce("__last", "__carried"))
+    return found.where(F.col(value).isNotNull()).select(*left.columns, value)

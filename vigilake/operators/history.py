@@ -24,6 +24,25 @@ def block_hashes(messages: DataFrame, text: str = "text") -> DataFrame:
     return messages.where(F.col(text) != "").select(F.sha2(text, 256).alias("text_hash")).distinct()
 
 
+def recorded(evaluated: DataFrame, at: Column) -> DataFrame:
+    """(kind, text_hash, original, at): what evaluated exchanges leave for later requests.
+
+    A blocked phase put its block message into the conversation (``block``); a redacted
+    response put its redacted text there (``swap``), whose original is kept.
+    """
+    message = F.when(F.col("verdict") == "blocked", truthy(F.col("block_message")))
+    redacted = F.coalesce(F.col("response_eval.final_verdict") == "redacted", F.lit(False)) & truthy(F.col("response")).isNotNull()
+    said = F.when(redacted, truthy(F.col("final_response")))
+    none = F.lit(None).cast("string")
+
+    def row(kind, text, original):
+        return F.struct(F.lit(kind).alias("kind"), F.sha2(text, 256).alias("text_hash"), original.alias("original"))
+
+    rows = F.array(row("block", message, none), row("swap", said, F.col("response")))
+    made = evaluated.select(at.alias("at"), F.inline(F.filter(rows, lambda r: r["text_hash"].isNotNull())))
+    return made.select("kind", "text_hash", "original", "at")
+
+
 def _with_row(turns: DataFrame) -> DataFrame:
     """Hash of assistant texts, and a row key to split hot hashes by."""
     said = F.col("role").isin(*ASSISTANT) & (F.col("text") != "")

@@ -1,9 +1,9 @@
 """All queries and their SQL."""
 
-from vigilake.plans import conversations, evaluation, receipts, roundtrips, traces
+from vigilake.plans import bodies, conversations, evaluation, receipts, roundtrips, traces
 from vigilake.plans.base import Query
 
-PARTS = (evaluation, receipts, traces, conversations, roundtrips)
+PARTS = (evaluation, receipts, traces, conversations, bodies, roundtrips)
 
 
 def all_queries() -> dict[str, Query]:

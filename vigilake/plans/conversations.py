@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from vigilake.functions import variant as V
 from vigilake.functions.once import with_once
 from vigilake.operators import history, traffic
-from vigilake.plans.base import EXCHANGES_SQL, NOW, Catalog, exchanges, table
-from vigilake.plans.evaluation import documents
+from vigilake.plans.base import EXCHANGES_SQL, NOW, TALK_SQL, Catalog, exchanges, table
+from vigilake.plans.evaluation import documents, talk
 
 CATALOG = Catalog()
 
@@ -276,9 +276,16 @@ _PAIRS_SQL = f"""pairs AS (SELECT sha256({_MASKED}) AS h, arg_max(text, conv_id
     WHERE role = 'assistant' AND turn >= 3 GROUP BY 1)"""
 
 
-@CATALOG.query("redaction_pairs", f"WITH {_PAIRS_SQL} SELECT h AS text_hash, sha256(original) AS original_sha FROM pairs")
+@CATALOG.query(
+    "redaction_pairs",
+    f"""WITH {TALK_SQL} SELECT sha256(final_response) AS text_hash, sha256(first(response ORDER BY turn DESC, conv_id DESC)) AS original_sha
+        FROM talk WHERE response_verdict = 'redacted' AND response <> '' AND final_response <> '' GROUP BY 1""",
+)
 def redaction_pairs(spark, sf_dir):
-    pairs = history.redaction_pairs(known_redactions(spark, sf_dir))
+    """Redacted answers of evaluated exchanges with their originals."""
+    done = talk(spark, sf_dir).where("response_eval.final_verdict = 'redacted'")
+    redactions = done.select(F.col("final_response").alias("redacted"), F.col("response").alias("original"), F.struct("turn", "conv_id").alias("seq"))
+    pairs = history.redaction_pairs(redactions)
     return pairs.select("text_hash", F.sha2("original", 256).alias("original_sha"))
 
 
@@ -303,12 +310,10 @@ def block_messages(spark, sf_dir):
     return table(spark, sf_dir, "conversations").where((F.col("role") == "assistant") & (F.char_length("text") < _SHORT))
 
 
-@CATALOG.query(
-    "block_hashes",
-    f"SELECT DISTINCT sha256(text) AS text_hash FROM conversations WHERE role = 'assistant' AND length(text) < {_SHORT} AND text <> ''",
-)
+@CATALOG.query("block_hashes", f"WITH {TALK_SQL} SELECT DISTINCT sha256(block_message) AS text_hash FROM talk WHERE verdict = 'blocked' AND block_message <> ''")
 def block_hashes(spark, sf_dir):
-    return history.block_hashes(block_messages(spark, sf_dir))
+    """Block messages of evaluated exchanges, of both phases."""
+    return history.block_hashes(talk(spark, sf_dir).where("verdict = 'blocked'"), "block_message")
 
 
 def rough_history(spark, sf_dir):
