@@ -1,9 +1,12 @@
 import datetime
 import json
+import random
+import time
 import uuid
 
-
+from pyspark.sql import functions as F
 from test_traffic import CHUNKS
+from vigilake.operators import sanitize
 from vigilake.operators.evaluate import Clock
 from vigilake.operators.policies import Policy, PolicySet
 from vigilake.operators.taxonomy import taxonomy
@@ -73,3 +76,76 @@ def test_checkpoints_go_to_the_shared_folder(spark):
 
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert checkpoint_dir(spark) == (named or spark.sparkContext.getCheckpointDir())
+
+
+def landed(spark, rows, schema, make, tmp_path, name):
+    """Rows that land one file a run; each run goes on from the state of the one before."""
+    source, out = str(tmp_path / "in"), str(tmp_path / f"out-{name}")
+    for row in rows:
+        spark.createDataFrame([row], schema).write.mode("append").parquet(source)
+        stream = make(spark.readStream.schema(schema).parquet(source))
+        jobs.start_files(stream, out, name, "parquet", once=True).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def test_dates_split_over_chunks_are_masked(spark, tmp_path):
+    texts = {
+        "a": "He was born on  12/03/1990, DOB: 4/5/99 and DOB12/1/2000; xDOB: 1/1/2000 date of birth 1999-12-31!",
+        "b": "éDOB: 1/2/2003 Born, DOB:: 1-2-20031 born o DOB: 199-1 dob 1/1/9",
+    }
+    rng = random.Random(2)
+    for turn in range(3):
+        rows = []
+        for name, text in texts.items():
+            at, seq = 0, 0
+            while at < len(text):
+                size = rng.randrange(1, 40 if turn else 8)
+                rows.append((name, seq, text[at : at + size], at + size >= len(text) and name == "a"))
+                at, seq = at + size, seq + 1
+        schema = "stream_id string, seq bigint, data string, last boolean"
+        source, out = str(tmp_path / f"in{turn}"), str(tmp_path / f"out{turn}")
+        # Chunks of a stream in batches of three, in order.
+        for low in range(0, 100, 3):
+            part = [r for r in rows if low <= r[1] < low + 3]
+            if part:
+                spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        files = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        jobs.settle(jobs.start_files(jobs.masked_streams(files, idle_ms=4000), out, f"masks-{uuid.uuid4().hex}", "parquet"), 120)
+        got = {}
+        for r in sorted(spark.read.parquet(out).collect(), key=lambda r: (r.stream_id, r.seq, r.part)):
+            got[r.stream_id] = got.get(r.stream_id, "") + r.data
+        whole = spark.createDataFrame(list(texts.items()), "id string, text string").select("id", sanitize.mask_labelled(F.col("text")).alias("text"))
+        assert got == {r.id: r.text for r in whole.collect()}
+
+
+def test_idle_streams_end_by_their_timer(spark, tmp_path):
+    schema = "stream_id string, seq bigint, vendor string, data string, last boolean"
+    frame = 'data: {"type": "content_block_delta", "delta": {"text": "%s"}}'
+    rows = [("s", 0, "claude", frame % "one ", False), ("s", 1, "claude", frame % "two", False), ("t", 0, "claude", frame % "end", True), ("u", 0, "claude", "data: {}", False)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    stream = jobs.assembled_streams(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), idle_ms=1500)
+    out = str(tmp_path / "out")
+    jobs.settle(jobs.start_files(stream, out, f"idle-{uuid.uuid4().hex}", "parquet"), 120)
+    assert {tuple(r) for r in spark.read.parquet(out).collect()} == {("s", "claude", "one two"), ("t", "claude", "end")}
+
+
+def test_open_streams_are_read_from_state(spark, tmp_path):
+    schema = "stream_id string, seq bigint, vendor string, data string, last boolean"
+    frame = 'data: {"type": "content_block_delta", "delta": {"text": "%s"}}'
+    full = 'data: {"message": {"content": {"parts": ["%s"]}}}'
+    rows = [("s", 0, "claude", frame % "one ", False), ("s", 1, "claude", frame % "two", False), ("c", 0, "chatgpt", full % "a", False), ("c", 1, "chatgpt", full % "ab", False)]
+    name = f"open-{uuid.uuid4().hex}"
+    done = landed(spark, rows, schema, lambda s: jobs.assembled_streams(s, idle_ms=3_600_000), tmp_path, name)
+    assert done.count() == 0
+    assert {tuple(r) for r in jobs.open_streams(spark, name).collect()} == {("s", "claude", "one two"), ("c", "chatgpt", "ab")}
+
+
+def test_silent_sessions_are_forgotten(spark, tmp_path):
+    schema = "file string, line_no bigint, session_id string, op string, target string"
+    source, out, name = str(tmp_path / "in"), str(tmp_path / "out"), f"ttl-{uuid.uuid4().hex}"
+    for batch, wait in enumerate((0, 3)):
+        time.sleep(wait)
+        spark.createDataFrame([("f", batch, "s", "READ", "x")], schema).write.mode("append").parquet(source)
+        stream = jobs.live_circular(spark.readStream.schema(schema).parquet(source), session_ttl_ms=1500)
+        jobs.start_files(stream, out, name, "parquet", once=True).awaitTermination()
+    assert [r.seq for r in spark.read.parquet(out).orderBy("line_no").collect()] == [1, 1]

@@ -13,7 +13,7 @@ from vigilake.operators import classify, receipts, registry, reports, trace, tra
 from vigilake.operators.exchange import evaluate_exchanges
 from vigilake.plans import conversations, traces
 from vigilake.plans import receipts as receipt_plans
-from vigilake.plans.base import CLOCK, FLAGS_SQL, PII, PII_PATTERNS, TALK_POLICIES, TOPIC, Catalog, exchanges, table
+from vigilake.plans.base import CLOCK, FLAGS_SQL, PII, PII_PATTERNS, TALK_POLICIES, TOPIC, Catalog, exchanges, masked_words_sql, table, words_sql
 from vigilake.plans.evaluation import CATALOG as EVALUATION
 from vigilake.session import checkpoint_dir
 from vigilake.sinks import files as sinks
@@ -271,16 +271,70 @@ def stream_circular(spark, sf_dir):
     return spark.read.schema(jobs.FLAGGED).parquet(out)
 
 
-@CATALOG.query("stream_assembly", conversations.CATALOG.sql["sse_assembly"])
-def stream_assembly(spark, sf_dir):
-    """Every third stream never sends its last chunk; its text is read from the state of the stopped run."""
+def settled(spark, stream, name: str, schema: str):
+    """Run a stream until its state is empty, so that timers fire, and read what it wrote."""
+    path = fresh(spark, f"out-{name}")
+    jobs.settle(jobs.start_files(stream, path, f"{name}-{uuid.uuid4().hex}", "parquet"))
+    return spark.read.schema(schema).parquet(path)
+
+
+def chunk_stream(spark, sf_dir):
+    """Documents as chunks; every third stream never sends its last one, so only its timer ends it."""
     ends = F.col("last") & (F.col("stream_id") % 3 != 0)
     chunks = conversations.event_chunks(spark, sf_dir).withColumn("last", ends)
-    path, name = fresh(spark, "in-chunks"), f"assembled-{uuid.uuid4().hex}"
+    path = fresh(spark, "in-chunks")
     chunks.repartition(4, "stream_id").write.parquet(path)
-    stream = spark.readStream.schema(chunks.schema).parquet(path)
-    done = drained(spark, jobs.assembled_streams(stream), "assembled", jobs.ASSEMBLED, name)
-    return done.union(jobs.open_streams(spark, name)).select(F.col("stream_id").cast("bigint").alias("stream_id"), "vendor", F.sha2("text", 256).alias("text_sha"))
+    return spark.readStream.schema(chunks.schema).parquet(path)
+
+
+@CATALOG.query("stream_assembly", conversations.CATALOG.sql["sse_assembly"])
+def stream_assembly(spark, sf_dir):
+    done = settled(spark, jobs.assembled_streams(chunk_stream(spark, sf_dir), idle_ms=1000), "assembled", jobs.ASSEMBLED)
+    return done.select(F.col("stream_id").cast("bigint").alias("stream_id"), "vendor", F.sha2("text", 256).alias("text_sha"))
+
+
+@CATALOG.query(
+    "stream_audit",
+    f"""WITH counted AS (SELECT doc_id, text, {words_sql("text", "topic:german")} AS g, {words_sql("text", "topic:link")} AS l, {words_sql("text", "topic:motion")} AS m
+          FROM documents WHERE text <> ''),
+        judged AS (SELECT *, CASE WHEN m > 0 AND l > 0 THEN 'blocked' WHEN g > 0 THEN 'alerted' WHEN m > 0 THEN 'redacted' ELSE 'allowed' END AS verdict FROM counted)
+        SELECT doc_id AS stream_id, verdict, sha256(CASE WHEN verdict = 'redacted' THEN {masked_words_sql("text", "topic:motion", "#")} ELSE text END) AS text_sha FROM judged""",
+)
+def stream_audit(spark, sf_dir):
+    """Streams assembled and evaluated at their end, by their last chunk or their timer, in one query."""
+    done = jobs.audited_streams(jobs.assembled_streams(chunk_stream(spark, sf_dir), idle_ms=1000), [TOPIC], TALK_POLICIES, CLOCK)
+    told = done.select(F.col("exchange_id").cast("bigint").alias("stream_id"), "verdict", F.sha2("text_out", 256).alias("text_sha"))
+    return settled(spark, told, "audited", "stream_id bigint, verdict string, text_sha string")
+
+
+@CATALOG.query(
+    "stream_masked_across_chunks",
+    """SELECT o_custkey AS stream_id, sha256(string_agg('Order ' || o_orderkey || ' born on [redacted], DOB: [redacted]; due ' || strftime(o_orderdate, '%Y-%m-%d') || '. ', ''
+         ORDER BY o_orderkey)) AS text_sha FROM orders GROUP BY o_custkey""",
+)
+def stream_masked_across_chunks(spark, sf_dir):
+    """A customer's orders as one stream in chunks of 37 characters, so many dates lie in two, and a stream in several batches."""
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    line = F.concat(
+        F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(" born on "), day, F.lit(", DOB: "),
+        F.date_format("o_orderdate", "MM/dd/yy"), F.lit("; due "), day, F.lit(". "),
+    )
+    texts = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line"))))["line"], "").alias("text"))
+    size = 37
+    cut = texts.select("o_custkey", "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / size))).alias("seq"))
+    last = (F.col("seq") + 1) * size >= F.length("text")
+    chunks = cut.select(F.col("o_custkey").alias("stream_id"), "seq", F.substring("text", (F.col("seq") * size + 1).cast("int"), F.lit(size)).alias("data"), last.alias("last"))
+    path = fresh(spark, "in-masked")
+    out, name = fresh(spark, "out-masked"), f"masked-{uuid.uuid4().hex}"
+    # The second half of every stream lands later, and the query goes on from its state.
+    for half in (F.col("seq") < 4, F.col("seq") >= 4):
+        chunks.where(half).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(chunks.schema).parquet(path)
+        jobs.start_files(jobs.masked_streams(stream, idle_ms=3_600_000), out, name, "parquet", once=True).awaitTermination()
+    done = spark.read.schema("stream_id string, seq bigint, part int, data string").parquet(out)
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "part", "data")))
+    told = done.groupBy("stream_id").agg(F.array_join(ordered["data"], "").alias("text"))
+    return told.select(F.col("stream_id").cast("bigint").alias("stream_id"), F.sha2("text", 256).alias("text_sha"))
 
 
 @CATALOG.query("stream_masked_chunks", EVALUATION.sql["mask_labelled_dates"])

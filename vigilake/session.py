@@ -9,6 +9,8 @@ RESULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     # JSON with a repeated key keeps the last one, as JSON readers commonly do.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # State variables, timers and TTL of keyed streams need this store.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 # Speed and skew settings for sessions the package builds itself.

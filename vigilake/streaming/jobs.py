@@ -1,25 +1,21 @@
 """Streaming forms. Where an operator is a narrow stage the batch function is used as it is."""
 
-import json
-from collections import deque
-from collections.abc import Iterator
+import time
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vigilake.functions.once import with_once
 from vigilake.operators import reports, sanitize, traffic, traps
 from vigilake.operators.evaluate import Clock
-from vigilake.operators.exchange import evaluate_exchanges
+from vigilake.operators.exchange import evaluate_exchanges, evaluate_single_phase
 from vigilake.operators.policies import PolicySet
 from vigilake.operators.receipts import build_receipts
 from vigilake.operators.taxonomy import Taxonomy
-from vigilake.operators.trace import LOOKBACK, REPEATS
 from vigilake.session import checkpoint_dir
 from vigilake.sources.files import with_receipt
+from vigilake.streaming import state
 
 
 def _checkpoint(df: DataFrame, name: str) -> str:
@@ -50,75 +46,43 @@ def live_traps(nodes: DataFrame, trap_table: DataFrame) -> DataFrame:
 
 
 def masked_chunks(chunks: DataFrame) -> DataFrame:
-    """Mask labelled dates chunk by chunk; a date split over two chunks is not seen."""
+    """Mask labelled dates chunk by chunk; a date split over two chunks is not seen. masked_streams() sees it."""
     return chunks.withColumn("data", sanitize.mask_labelled(F.col("data")))
 
 
+MASKED = "stream_id string, seq bigint, part int, before string, data string"
+
+
+def masked_streams(chunks: DataFrame, idle_ms: int = 60_000) -> DataFrame:
+    """Mask labelled dates of streams (stream_id, seq, data, last), also those split over chunks.
+
+    A chunk's end that may be the beginning of a labelled date is held back and comes with a later chunk,
+    at the stream's ``last`` one, or after ``idle_ms`` without one (as part 1 of the last chunk). Joined
+    in the order of (seq, part), a stream's chunks are its whole text, masked.
+    """
+    given = chunks.select(F.col("stream_id").cast("string").alias("stream_id"), "seq", F.coalesce("data", F.lit("")).alias("data"), "last")
+    cut = given.groupBy("stream_id").transformWithStateInPandas(state.LabelledDates(idle_ms), MASKED, "Append", "ProcessingTime")
+    masked = sanitize.mask_labelled(F.concat("before", "data"))
+    return cut.select("stream_id", "seq", "part", F.substring(masked, F.length("before") + 1, F.length(masked)).alias("data"))
+
+
 FLAGGED = "file string, line_no bigint, seq bigint, circular boolean"
-_LOG_STATE = "recent string, counts string"
-
-
-def _flag_rows(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    recent, counts = deque(maxlen=LOOKBACK), {}
-    if state.exists:
-        saved_recent, saved_counts = state.get
-        recent.extend(tuple(pair) for pair in json.loads(saved_recent))
-        counts = json.loads(saved_counts)
-    rows = pd.concat(list(batches)).sort_values("line_no", kind="stable")
-    out = []
-    for line_no, session, op, target in zip(rows.line_no, rows.session_id, rows.op, rows.target):
-        counts[session] = counts.get(session, 0) + 1
-        usable = bool(op) and bool(target)
-        circular = usable and target != "none" and recent.count((op, target)) + 1 >= REPEATS
-        if usable:
-            recent.append((op, target))
-        out.append((key[0], line_no, counts[session], circular))
-    state.update((json.dumps(list(recent)), json.dumps(counts)))
-    yield pd.DataFrame(out, columns=["file", "line_no", "seq", "circular"])
-
-
-def live_circular(events: DataFrame) -> DataFrame:
+
+
+def live_circular(events: DataFrame, session_ttl_ms: int | None = None) -> DataFrame:
     """Sequence numbers and circular flags of a live log (file, line_no, session_id, op, target).
 
-    The state of a file is its last LOOKBACK eligible events and a counter per
-    session. Lines must arrive in order, as a log is tailed; a log is sequential
-    by nature, and many logs run in parallel.
+    The state of a file is its last LOOKBACK eligible events and a counter per session; with
+    ``session_ttl_ms`` a session that was silent for so long is forgotten and would count from 1 again.
+    Lines must arrive in order, as a log is tailed; the look-back spans all sessions of a log, so
+    a log is one key by nature, and many logs run in parallel.
     """
     usable = events.select("file", "line_no", *[F.coalesce(c, F.lit("")).alias(c) for c in ("session_id", "op", "target")])
-    return usable.groupBy("file").applyInPandasWithState(
-        _flag_rows, FLAGGED, _LOG_STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    mode = "None" if session_ttl_ms is None else "ProcessingTime"
+    return usable.groupBy("file").transformWithStateInPandas(state.CircularLog(session_ttl_ms), FLAGGED, "Append", mode)
 
 
 ASSEMBLED = "stream_id string, vendor string, text string"
-_STREAM_STATE = "vendor string, text string"
-
-
-def _assembler(idle_ms: int):
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            vendor, text = state.get
-            state.remove()
-            if text:
-                yield pd.DataFrame([(key[0], vendor, text)], columns=["stream_id", "vendor", "text"])
-            return
-        vendor, text = state.get if state.exists else ("", "")
-        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-        vendor = rows.vendor.iloc[-1]
-        ended = bool(rows["last"].any())
-        added = [t for t in rows.text if t]
-        if added:
-            text = added[-1] if vendor == "chatgpt" else text + "".join(added)
-        if ended:
-            if state.exists:
-                state.remove()
-            if text:
-                yield pd.DataFrame([(key[0], vendor, text)], columns=["stream_id", "vendor", "text"])
-            return
-        state.update((vendor, text))
-        state.setTimeoutDuration(idle_ms)
-
-    return step
 
 
 def assembled_streams(chunks: DataFrame, idle_ms: int = 60_000) -> DataFrame:
@@ -128,32 +92,41 @@ def assembled_streams(chunks: DataFrame, idle_ms: int = 60_000) -> DataFrame:
     frames are parsed in the JVM; only their texts reach the state.
     """
     texts = with_once(chunks, {"text": traffic.frame_text(F.col("data"), F.col("vendor"))})
-    return (
-        texts.select(F.col("stream_id").cast("string").alias("stream_id"), "seq", "vendor", "text", "last")
-        .groupBy("stream_id")
-        .applyInPandasWithState(
-            _assembler(idle_ms), ASSEMBLED, _STREAM_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
-        )
-    )
+    given = texts.select(F.col("stream_id").cast("string").alias("stream_id"), "seq", "vendor", "text", "last")
+    return given.groupBy("stream_id").transformWithStateInPandas(state.StreamAssembler(idle_ms), ASSEMBLED, "Append", "ProcessingTime")
 
 
 def open_streams(spark: SparkSession, name: str) -> DataFrame:
-    """Text so far of the streams that a stopped run of assembled_streams() left open.
-
-    A run over what is there ends before anything can be idle, so a stream without its
-    ``last`` chunk stays in the state of the query ``name``, where the next run goes on.
-    """
-    state = spark.read.format("statestore").load(f"{checkpoint_dir(spark).rstrip('/')}/{name}")
-    left = state.select("key.stream_id", "value.groupState.vendor", "value.groupState.text")
-    return left.where("text <> ''")
+    """Text so far of the streams that a stopped run of assembled_streams() left open."""
+    stored = spark.read.format("statestore").option("flattenCollectionTypes", "false")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+    heads = stored.option("stateVarName", "head").load(path).select("key.stream_id", "value.vendor", "value.reached")
+    texts = stored.option("stateVarName", "texts").load(path).select("key.stream_id", F.array_join(F.transform("list_value", lambda t: t["text"]), "").alias("joined"))
+    left = heads.join(texts, "stream_id", "left")
+    text = F.when(F.col("vendor") == "chatgpt", F.col("reached")).otherwise(F.coalesce("joined", F.lit("")))
+    return left.select("stream_id", "vendor", text.alias("text")).where("text <> ''")
+
+
+def settle(query: StreamingQuery, seconds: float = 600) -> None:
+    """Wait until a query has read what is there and no key has state left, then stop it."""
+    until = time.monotonic() + seconds
+    # Timers ask for batches without data forever, so processAllAvailable() would not return.
+    while time.monotonic() < until:
+        if query.exception():
+            raise query.exception()
+        done = query.lastProgress
+        if done and not done["numInputRows"] and not sum(o["numRowsTotal"] for o in done["stateOperators"]):
+            query.stop()
+            return
+        time.sleep(0.2)
+    query.stop()
+    raise TimeoutError(f"state was left after {seconds} seconds")
 
 
 def audited_streams(
     assembled: DataFrame, taxonomies: list[Taxonomy], policy_set: PolicySet, clock: Clock
 ) -> DataFrame:
     """Evaluate each assembled stream as a lone response."""
-    from vigilake.operators.exchange import evaluate_single_phase
-
     records = assembled.select(F.col("stream_id").alias("exchange_id"), F.lit("response").alias("direction"), "text")
     return evaluate_single_phase(records, taxonomies, policy_set, clock)
 
