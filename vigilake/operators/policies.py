@@ -9,11 +9,13 @@ import json
 from dataclasses import dataclass
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from vigilake.functions import variant as V
-from vigilake.functions.spread import salted_lookup
+from vigilake.functions.once import with_fields_once, with_once
 
 # The closed vocabularies and formats of a policy document.
 SCHEMA_VERSION = "1.0"
@@ -172,22 +174,75 @@ def validation_errors(raw: DataFrame) -> DataFrame:
     return doc.select("file", F.explode(violations(F.col("doc"))).alias("message"))
 
 
+def _duplicates(files: Column, policy_id: Column) -> Column:
+    """Messages for all but the first of the sorted files that declare an id."""
+    told = F.concat(F.lit("duplicate policy_id "), policy_id, F.lit(" of "), F.element_at(files, 1))
+    later = F.slice(files, 2, F.greatest(F.size(files) - 1, F.lit(0)))
+    return F.transform(later, lambda f: F.struct(f.alias("file"), told.alias("message")))
+
+
 def duplicate_ids(raw: DataFrame) -> DataFrame:
-    """Files that declare a policy id an earlier file (by name) already has."""
-    doc = V.parse_strict(F.col("body"))
-    ids = raw.select("file", V.string_at(doc, "$.policy_id").alias("policy_id")).where("policy_id is not null")
-    first = ids.groupBy("policy_id").agg(F.min("file").alias("first_file"))
-    named = salted_lookup(ids, first, "policy_id", "inner", "file").where("file > first_file")
-    return named.select(
-        "file",
-        F.concat(F.lit("duplicate policy_id "), F.col("policy_id"), F.lit(" of "), F.col("first_file")).alias("message"),
-    )
+    """Files that declare a policy id an earlier file (by name) already has.
+
+    One aggregate; its list holds the names of the files of one directory that share an id.
+    """
+    ids = raw.select("file", V.string_at(V.parse_strict(F.col("body")), "$.policy_id").alias("policy_id")).where("policy_id is not null")
+    files = ids.groupBy("policy_id").agg(F.array_sort(F.collect_list("file")).alias("files")).where(F.size("files") > 1)
+    return files.select(F.inline(_duplicates(F.col("files"), F.col("policy_id"))))
 
 
-def load_errors(raw: DataFrame) -> DataFrame:
-    """Everything that keeps the policies from being loaded, in one table."""
-    valid = raw.join(validation_errors(raw).select("file").distinct(), "file", "left_anti")
-    return validation_errors(raw).unionByName(duplicate_ids(valid))
+def load_errors(raw: DataFrame, directory: str | None = None) -> DataFrame:
+    """Everything that keeps the policies from being loaded, in one table of (directory, file, message).
+
+    Each file is parsed and checked once; a valid one stands for its id, an invalid one for its
+    errors, and one aggregate finds the ids that several valid files of a directory declare. A column
+    ``error`` of ``raw`` may say why a file could not be read; it is then not looked into.
+    """
+    own = [directory] if directory else []
+    unread = F.col("error") if "error" in raw.columns else F.lit(None).cast("string")
+    parsed = with_once(raw.select(*own, "file", unread.alias("__unread"), "body"), {"__doc": V.parse_strict(F.col("body"))})
+    found = F.when(F.col("__unread").isNotNull(), F.array("__unread")).otherwise(violations(F.col("__doc")))
+    checked = with_once(parsed, {"__errors": found, "__id": V.string_at(F.col("__doc"), "$.policy_id")})
+    none = F.lit(None).cast("string")
+    wrong = F.transform("__errors", lambda m: F.struct(none.alias("id"), F.col("file").alias("bad"), m.alias("message")))
+    entries = F.when(F.size("__errors") > 0, wrong).otherwise(F.array(F.struct(F.col("__id").alias("id"), none.alias("bad"), none.alias("message"))))
+    rows = checked.select(*own, "file", F.inline(entries))
+    groups = rows.groupBy(*own, "id", "bad", "message").agg(F.array_sort(F.collect_list("file")).alias("files"))
+    told = F.when(F.col("id").isNull(), F.array(F.struct(F.col("bad").alias("file"), "message"))).otherwise(_duplicates(F.col("files"), F.col("id")))
+    return groups.select(*own, told.alias("told")).select(*own, F.inline("told"))
+
+
+@F.pandas_udf(StructType([StructField("body", StringType()), StructField("error", StringType())]))
+def yaml_as_json(contents: pd.Series) -> pd.DataFrame:
+    """Policy documents in YAML as JSON text, or why they cannot be read."""
+    import yaml
+
+    def one(content):
+        try:
+            return json.dumps(yaml.safe_load(bytes(content).decode("utf-8")), default=str), None
+        except UnicodeDecodeError as exc:
+            return None, f"not valid UTF-8: {exc.reason}"
+        except yaml.YAMLError as exc:
+            return None, f"YAML parse error: {getattr(exc, 'problem', None) or exc}"
+
+    return pd.DataFrame([one(c) for c in contents], columns=["body", "error"])
+
+
+def read_directories(files: DataFrame) -> DataFrame:
+    """Policy files (directory, file, content) of many directories, parsed where they are read: adds body and error."""
+    read = with_fields_once(files, yaml_as_json(F.col("content")))
+    return read.select("directory", "file", "content", "body", "error")
+
+
+def directory_sets(read: DataFrame) -> DataFrame:
+    """One row per directory: its files, its problems, and its version where there is none.
+
+    Directories are independent of each other; ids only have to differ within one.
+    """
+    errors = load_errors(read, "directory").groupBy("directory").agg(F.count("*").alias("n_errors"))
+    sets = set_versions(read.select("directory", "file", F.col("content").alias("content"))).join(errors, "directory", "left")
+    loaded = F.col("n_errors").isNull()
+    return sets.select("directory", "n_files", F.coalesce("n_errors", F.lit(0)).alias("n_errors"), F.when(loaded, F.col("policy_set_version")).alias("policy_set_version"))
 
 
 def set_versions(files: DataFrame, directory: str = "directory") -> DataFrame:

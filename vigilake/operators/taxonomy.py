@@ -5,8 +5,11 @@ from dataclasses import dataclass
 from importlib import resources
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from vigilake.functions import variant as V
+from vigilake.functions.once import with_once
 from vigilake.functions.text import REGEX_FLAGS
 
 REGEX, KEYWORDS, NER = "regex", "keyword_list", "spacy_ner"
@@ -97,6 +100,67 @@ def shipped(name: str) -> Taxonomy:
     return load_taxonomy(resources.files("vigilake").joinpath("taxonomies", f"{name}.yaml"))
 
 
+# Texts on which a pattern that can match nothing shows it.
+_PROBES = ("", "a", "1", " ", "a 1")
+
+
+def java_pattern(pattern: Column) -> Column:
+    """A pattern as written in a taxonomy, in Java's spelling."""
+    return F.concat(F.lit(REGEX_FLAGS), F.replace(F.replace(pattern, F.lit("(?P<"), F.lit("(?<")), F.lit(r"\Z"), F.lit(r"\z")))
+
+
+def pattern_error(pattern: Column) -> Column:
+    """What is wrong with a regex, compiled as it will be used; NULL for a good one."""
+    java = java_pattern(pattern)
+    # A pattern that does not compile gives NULL instead of an error.
+    compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), java).isNotNull()
+    empty = F.exists(F.array(*map(F.lit, _PROBES)), lambda p: F.array_contains(F.regexp_extract_all(p, java, F.lit(0)), F.lit("")))
+    return (
+        F.when(pattern.contains("(?P=") | pattern.contains("(?P>") | pattern.rlike(r"\(\?\(\w"), F.lit("back-references by name and conditions are not supported"))
+        .when(~compiled, F.lit("invalid regex"))
+        .when(empty, F.lit("pattern can match the empty string"))
+    )
+
+
+def taxonomy_violations(raw: DataFrame) -> DataFrame:
+    """(file, position, message) of everything wrong with taxonomies in a table of ``file`` and JSON ``body``.
+
+    Problems of the document have no position, those of a class the one it is listed at. One pass, without
+    a shuffle; patterns are compiled in the JVM, row by row.
+    """
+    docs = with_once(raw.select("file", "body"), {"doc": V.parse_strict(F.col("body"))})
+    doc = F.col("doc")
+    namespace = V.string_at(doc, "$.namespace")
+    keys = F.map_keys(V.fields_of(doc))
+    top = F.array(
+        F.when(~V.is_object(doc) | ~F.array_contains(keys, "namespace") | ~F.array_contains(keys, "classes"), F.lit("'namespace' and 'classes' are required at the top"))
+        .when(F.coalesce(namespace, F.lit("")).rlike("^$|:"), F.lit("a namespace is non-empty and holds no ':'"))
+        .when(F.size(V.list_at(doc, "$.classes")) == 0, F.lit("no classes declared"))
+    )
+
+    def entry(item):
+        name, recognizer = V.text_at(item, "$.class"), V.text_at(item, "$.recognizer")
+        pattern = V.at(item, "$.pattern")
+        missing = (F.coalesce(name, F.lit("")) == "") | (F.coalesce(recognizer, F.lit("")) == "") | (F.coalesce(V.kind(pattern), F.lit("VOID")) == "VOID")
+        text = V.string_at(item, "$.pattern")
+        return (
+            F.when(~V.is_object(item), F.lit("class entries must be mappings"))
+            .when(missing, F.lit("class, recognizer and pattern are all required"))
+            .when(~recognizer.isin(*RECOGNIZERS), F.concat(F.lit("recognizer is none of "), F.lit(", ".join(RECOGNIZERS))))
+            .when((recognizer == REGEX) & text.isNull(), F.lit("a regex pattern is a string"))
+            .when(recognizer == REGEX, pattern_error(text))
+            .when((recognizer == KEYWORDS) & (F.size(V.list_at(item, "$.pattern")) == 0), F.lit("a keyword pattern is a non-empty list"))
+            .when((recognizer == NER) & text.isNull(), F.lit("an entity label is a string"))
+        )
+
+    nowhere = F.lit(None).cast("int")
+    whole = F.transform(F.filter(top, lambda m: m.isNotNull()), lambda m: F.struct(nowhere.alias("position"), m.alias("message")))
+    listed = F.transform(V.list_at(doc, "$.classes"), lambda c, i: F.struct(i.cast("int").alias("position"), entry(c).alias("message")))
+    # A document that is wrong at the top has no classes to speak of.
+    found = F.when(F.size(whole) > 0, whole).otherwise(F.filter(listed, lambda m: m["message"].isNotNull()))
+    return docs.select("file", found.alias("found")).select("file", F.inline("found"))
+
+
 def as_dataframe(spark: SparkSession, taxonomies: list[Taxonomy]) -> DataFrame:
     rows = [(t.namespace, i, c.name, c.recognizer, c.pattern) for t in taxonomies for i, c in enumerate(t.classes)]
     return spark.createDataFrame(rows, "namespace string, position int, cls string, recognizer string, pattern string")

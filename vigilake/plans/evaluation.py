@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from vigilake.operators import classify, policies, sanitize
 from vigilake.operators.evaluate import decision_rows, evaluate, redact_spans
 from vigilake.operators.exchange import PASSTHROUGH, dry_run, evaluate_exchanges, evaluate_single_phase
+from vigilake.operators.taxonomy import taxonomy_violations as check_taxonomies
 from vigilake.operators.taxonomy import shipped
 from vigilake.plans.base import (
     CARD,
@@ -536,6 +537,51 @@ def policy_load_errors(spark, sf_dir):
     return policies.load_errors(policy_files(spark, sf_dir))
 
 
+# --- taxonomies: every part is taken as a taxonomy file -----------------------
+
+_PATTERNS = {
+    5: (r"a*", "pattern can match the empty string"), 6: (r"(open", "invalid regex"), 7: (r"(?P<d>\\d)(?P=d)", "back-references by name and conditions are not supported"),
+    8: (r"(?P<y>\\d{4})-\\d\\Z", None), 9: (r"\\b", "pattern can match the empty string"), 10: (r"[z-a]", "invalid regex"), 11: (r"(a)?(?(1)b|c)", "back-references by name and conditions are not supported"),
+}
+
+
+def taxonomy_files(spark, sf_dir):
+    """Part rows as JSON taxonomies of two classes; sizes make some of them wrong in known ways."""
+    size, lit = F.col("p_size"), F.lit
+    pattern = lit('"x\\\\d+"')
+    for k, (text, _) in _PATTERNS.items():
+        pattern = F.when(size == k, lit(f'"{text}"')).otherwise(pattern)
+    pattern = F.when(size == 12, lit("5")).when(size == 13, lit("null")).otherwise(pattern)
+    kind = F.when(size == 14, "guess").otherwise("regex")
+    first = F.concat(lit('{"class": "c", "recognizer": "'), kind, lit('", "pattern": '), pattern, lit("}"))
+    first = F.when(size == 15, lit("7")).otherwise(first)
+    words = F.when(size == 16, "[]").when(size == 17, '"one"').otherwise('["one", "two.x"]')
+    second = F.concat(lit('{"class": "w", "recognizer": "keyword_list", "pattern": '), words, lit("}"))
+    classes = F.when(size == 18, "[]").otherwise(F.concat(lit("["), first, lit(", "), second, lit("]")))
+    named = F.when(size == 19, '"a:b"').when(size == 20, '""').otherwise('"ns"')
+    whole = F.concat(lit('{"namespace": '), named, lit(', "classes": '), classes, lit("}"))
+    body = F.when(size == 21, "[1]").when(size == 22, '{"namespace": "ns"}').otherwise(whole)
+    return table(spark, sf_dir, "part").select(F.concat(F.col("p_partkey").cast("string"), lit(".json")).alias("file"), body.alias("body"))
+
+
+_TAXONOMY_WRONG = [
+    *[(k, 0, message) for k, (_, message) in _PATTERNS.items() if message],
+    (12, 0, "a regex pattern is a string"), (13, 0, "class, recognizer and pattern are all required"), (14, 0, "recognizer is none of regex, keyword_list, spacy_ner"),
+    (15, 0, "class entries must be mappings"), (16, 1, "a keyword pattern is a non-empty list"), (17, 1, "a keyword pattern is a non-empty list"),
+    (18, None, "no classes declared"), (19, None, "a namespace is non-empty and holds no '':''"), (20, None, "a namespace is non-empty and holds no '':''"),
+    (21, None, "''namespace'' and ''classes'' are required at the top"), (22, None, "''namespace'' and ''classes'' are required at the top"),
+]
+_WRONG_SQL = ", ".join(f"({k}, {'NULL::INT' if at is None else at}, '{message}')" for k, at, message in _TAXONOMY_WRONG)
+
+
+@CATALOG.query(
+    "taxonomy_violations",
+    f"SELECT p_partkey || '.json' AS file, position, message FROM part JOIN (VALUES {_WRONG_SQL}) AS wrong(size, position, message) ON size = p_size",
+)
+def taxonomy_violations(spark, sf_dir):
+    return check_taxonomies(taxonomy_files(spark, sf_dir))
+
+
 @CATALOG.query(
     "policy_set_versions",
     """SELECT o_custkey AS directory, count(*) AS n_files, substr(sha256(string_agg(

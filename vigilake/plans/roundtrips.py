@@ -9,12 +9,15 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from vigilake.operators import classify, receipts, registry, reports, trace, traps
+from vigilake.operators import classify, policies, receipts, registry, reports, trace, traps
 from vigilake.operators.exchange import evaluate_exchanges
 from vigilake.plans import conversations, traces
 from vigilake.plans import receipts as receipt_plans
 from vigilake.plans.base import CLOCK, FLAGS_SQL, PII, PII_PATTERNS, TALK_POLICIES, TOPIC, Catalog, exchanges, masked_words_sql, table, words_sql
+from vigilake.plans.evaluation import _POLICY_ERRORS_SQL as POLICY_ERRORS_SQL
+from vigilake.plans.evaluation import _POLICY_ID_SQL as POLICY_ID_SQL
 from vigilake.plans.evaluation import CATALOG as EVALUATION
+from vigilake.plans.evaluation import policy_files
 from vigilake.session import checkpoint_dir
 from vigilake.sinks import files as sinks
 from vigilake.sources import files, lines
@@ -192,6 +195,43 @@ def text_file_hits(spark, sf_dir):
 # --- streams: the tables arrive as files -------------------------------------
 
 
+def policy_tree(spark, sf_dir) -> str:
+    """The parts' policies as a file each, in forty directories; some are no YAML, no mapping or no UTF-8."""
+    path = fresh(spark, "policies")
+    rows = policy_files(spark, sf_dir).withColumn("key", F.regexp_extract("file", "([0-9]+)", 1).cast("bigint"))
+    body = F.when(F.col("key") % 50 == 3, "policy_id: [open").when(F.col("key") % 50 == 4, "- a list").otherwise(F.col("body"))
+    rows.select((F.col("key") % 40).alias("directory"), body.alias("value")).write.partitionBy("directory").option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+_TREE_SQL = f"""read AS (SELECT (p_partkey % 40)::VARCHAR AS directory, p_partkey % 50 AS k, p_partkey, p_size, {POLICY_ID_SQL} AS id FROM part),
+  wrong AS (SELECT (k.p_partkey % 40)::VARCHAR AS directory, e.message FROM ({POLICY_ERRORS_SQL}) e JOIN part k ON e.file = lpad(k.p_partkey::VARCHAR, 9, '0') || '.yaml' AND k.p_partkey % 50 NOT IN (3, 4)
+    UNION ALL SELECT directory, 'YAML parse error' FROM read WHERE k = 3 UNION ALL SELECT directory, 'a policy is one mapping' FROM read WHERE k = 4
+    UNION ALL SELECT directory, 'duplicate policy_id ' || id FROM (SELECT *, row_number() OVER (PARTITION BY directory, id) AS nth FROM read
+      WHERE k NOT IN (3, 4) AND p_size NOT IN (7, 11, 13, 17, 19, 23, 27, 28, 29, 31)) WHERE nth > 1)"""
+
+
+@CATALOG.query("policy_directories", f"WITH {_TREE_SQL} SELECT directory, message, count(*) AS files FROM wrong GROUP BY ALL")
+def policy_directories(spark, sf_dir):
+    """Problems of many policy directories, each file parsed where it is read. Which of two files comes first depends on their names, so these are left out."""
+    read = policies.read_directories(files.policy_files(spark, policy_tree(spark, sf_dir), "*.txt"))
+    errors = policies.load_errors(read, "directory")
+    message = F.regexp_replace("message", "^(duplicate policy_id \\S+) of .*$|^(YAML parse error): .*$", "$1$2")
+    return errors.groupBy(F.regexp_extract("directory", "directory=([0-9]+)", 1).alias("directory"), message.alias("message")).agg(F.count("*").alias("files"))
+
+
+@CATALOG.query(
+    "policy_directory_sets",
+    f"""WITH {_TREE_SQL} SELECT directory, count(*) AS n_files, coalesce(any_value(n), 0) AS n_errors, any_value(n) IS NULL AS loaded
+        FROM read LEFT JOIN (SELECT directory, count(*) AS n FROM wrong GROUP BY directory) USING (directory) GROUP BY directory""",
+)
+def policy_directory_sets(spark, sf_dir):
+    """Which of the directories load: a version for those without a problem."""
+    read = policies.read_directories(files.policy_files(spark, policy_tree(spark, sf_dir), "*.txt"))
+    sets = policies.directory_sets(read)
+    return sets.select(F.regexp_extract("directory", "directory=([0-9]+)", 1).alias("directory"), "n_files", "n_errors", F.col("policy_set_version").isNotNull().alias("loaded"))
+
+
 def as_stream(spark, path: str, schema):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path)
 

@@ -57,3 +57,16 @@ def text_files(spark: SparkSession, path: str | list[str], phase: str = "prompt"
     """Whole text files as exchanges of one phase, for a dry run."""
     files = _whole(spark, path, "*", False)
     return files.select(F.col("_metadata.file_path").alias("exchange_id"), F.col("value").alias(phase))
+
+
+def policy_files(spark: SparkSession, path: str, glob: str = "*.{yaml,yml}") -> DataFrame:
+    """(directory, file, content) of the policy files of ``path`` and of every directory below it.
+
+    Each directory is a set of its own, as if it were loaded alone: its files in the order of their names,
+    without those of directories below. Spark reads no files of zero bytes, nor names that start with a
+    dot or an underscore: such a file is no row here, where load_policies() would refuse its directory.
+    """
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    name = F.element_at(F.split("path", "/"), -1)
+    directory = F.regexp_replace("path", "/[^/]*$", "")
+    return found.select(directory.alias("directory"), name.alias("file"), "content")
