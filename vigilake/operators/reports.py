@@ -1,5 +1,8 @@
 """Questions asked of stored receipts. All read the declared ``receipt`` struct."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,21 +39,22 @@ def by_verdict(receipts: DataFrame) -> DataFrame:
     return verdicts.groupBy("verdict").agg(F.count("*").alias("decisions")).orderBy(F.desc("decisions"), "verdict")
 
 
-def touching(receipts: DataFrame, prefix: str) -> DataFrame:
-    """One row per receipt and class starting with ``prefix``, by time."""
-    rows = receipts.select("receipt", F.explode("receipt.data_classes_touched.class").alias("class"))
-    return (
-        rows.where(F.col("class").startswith(prefix))
-        .select(
-            F.col("receipt.receipt_id").alias("receipt_id"),
-            F.col("receipt.timestamp").alias("timestamp"),
-            F.col("receipt.tool.model_id").alias("model_id"),
-            "class",
-            F.col("receipt.policy_decisions.verdict").alias("verdicts"),
-            F.col("receipt.prompt.text").alias("prompt_text"),
-        )
-        .orderBy("timestamp", "receipt_id")
+def touching(receipts: DataFrame, *prefixes: str) -> DataFrame:
+    """One row per receipt and class starting with one of ``prefixes``, by time."""
+    wanted = F.filter(
+        "receipt.data_classes_touched.class", lambda c: reduce(or_, [c.startswith(p) for p in prefixes])
     )
+    # The fields are picked before the classes become rows, so a stored table gives only these.
+    rows = receipts.select(
+        F.col("receipt.receipt_id").alias("receipt_id"),
+        F.col("receipt.timestamp").alias("timestamp"),
+        F.col("receipt.tool.model_id").alias("model_id"),
+        wanted.alias("wanted"),
+        F.col("receipt.policy_decisions.verdict").alias("verdicts"),
+        F.col("receipt.prompt.text").alias("prompt_text"),
+    )
+    listed = rows.select("receipt_id", "timestamp", "model_id", F.explode("wanted").alias("class"), "verdicts", "prompt_text")
+    return listed.orderBy("timestamp", "receipt_id")
 
 
 def having_class(receipts: DataFrame, prefix: str, after: str | None = None) -> DataFrame:
@@ -78,10 +82,16 @@ def enforced_blocks(receipts: DataFrame, since: str | None = None) -> DataFrame:
     ).where(F.size("blocks") > 0)
 
 
-def _held(receipts: DataFrame) -> Column:
+def held() -> Column:
+    """Whether a receipt is on legal hold, from the receipt itself."""
     return F.coalesce(F.col("receipt.retention.legal_hold"), F.lit(False))
 
 
+def _held(receipts: DataFrame) -> Column:
+    """The same from the table's partitions, where it has them."""
+    return F.col("held") if "held" in receipts.columns else held()
+
+
 def prune_candidates(receipts: DataFrame, today: Column) -> DataFrame:
     """Receipts past retain_until and not on legal hold. A listing: nothing is deleted."""
     due = F.col("receipt.retention.retain_until") < F.date_format(today, "yyyy-MM-dd")
@@ -102,7 +112,10 @@ def older_than(receipts: DataFrame, today: Column, days: int) -> DataFrame:
 
 
 def emptied_days(receipts: DataFrame, today: Column, days: int) -> DataFrame:
-    """Days that hold nothing once older_than() is pruned, so their partitions can be dropped."""
+    """Days that hold nothing once older_than() is pruned, so their partitions can be dropped.
+
+    A table partitioned by day and hold answers from its partitions and row counts; no receipt is read.
+    """
     aged = F.col("day") < F.date_sub(today, days)
     held = F.max(_held(receipts).cast("int")).alias("held")
     return receipts.where(aged).groupBy("day").agg(F.count("*").alias("receipts"), held).where("held = 0").drop("held")

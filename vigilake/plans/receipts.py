@@ -1,5 +1,7 @@
 """Receipt queries: building, hashing, verifying, validating, reporting."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vigilake.operators import receipts, reports, validate
@@ -9,6 +11,9 @@ from vigilake.operators.policies import EMPTY_SET, PolicySet
 from vigilake.operators.taxonomy import taxonomy
 from vigilake.plans.base import CLOCK, NOW, NOW_ISO, TALK_SQL, Catalog, table
 from vigilake.plans.evaluation import documents, talk
+from vigilake.session import checkpoint_dir
+from vigilake.sinks import files as sinks
+from vigilake.sources import files
 
 CATALOG = Catalog()
 
@@ -172,19 +177,31 @@ def receipt_validation(spark, sf_dir):
     return checked.select("doc_id", F.explode("violations").alias("violation"))
 
 
-# --- reports -----------------------------------------------------------------
+# --- reports: over receipts as they are stored --------------------------------
+
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored(spark, sf_dir):
+    """The receipts' table, written once per session and tables, as reports find it."""
+    key = spark.sparkContext.applicationId, str(sf_dir)
+    if key not in _STORED:
+        path = f"{checkpoint_dir(spark).rstrip('/')}/vigilake/receipt-store-{uuid.uuid4().hex}"
+        sinks.write_receipt_table(built(spark, sf_dir), path)
+        _STORED[key] = path
+    return files.receipt_table(spark, _STORED[key])
 
 
 @CATALOG.query("receipt_count", f"{_RECEIPTS_SQL} SELECT count(*) AS receipts FROM receipts")
 def receipt_count(spark, sf_dir):
-    return reports.count(built(spark, sf_dir))
+    return reports.count(stored(spark, sf_dir))
 
 
 @CATALOG.query(
     "report_by_day", f"{_RECEIPTS_SQL} SELECT substr(ts_text, 1, 10) AS day, count(*) AS receipts FROM receipts GROUP BY 1"
 )
 def report_by_day(spark, sf_dir):
-    return reports.volume_by_day(built(spark, sf_dir))
+    return reports.volume_by_day(stored(spark, sf_dir))
 
 
 _TOUCHED_SQL = f"""{_RECEIPTS_SQL}, touched AS (SELECT receipt_id, ts_text, model_id, exchange_id, final_prompt,
@@ -196,7 +213,7 @@ _TOUCHED_SQL = f"""{_RECEIPTS_SQL}, touched AS (SELECT receipt_id, ts_text, mode
 
 @CATALOG.query("report_by_class", f"{_TOUCHED_SQL} SELECT cls AS class, count(*) AS receipts FROM touched GROUP BY 1")
 def report_by_class(spark, sf_dir):
-    return reports.by_class(built(spark, sf_dir))
+    return reports.by_class(stored(spark, sf_dir))
 
 
 # Verdict of each decision in order of policy id: prompt rules first, then response rules.
@@ -214,7 +231,7 @@ _VERDICTS_SQL = """[x FOR x IN [CASE WHEN pg > 0 THEN 'blocked' END, CASE WHEN p
         GROUP BY 1""",
 )
 def report_by_verdict(spark, sf_dir):
-    return reports.by_verdict(built(spark, sf_dir))
+    return reports.by_verdict(stored(spark, sf_dir))
 
 
 @CATALOG.query(
@@ -224,8 +241,7 @@ def report_by_verdict(spark, sf_dir):
         FROM (SELECT exchange_id, cls FROM touched) t JOIN receipts r USING (exchange_id) WHERE starts_with(cls, 'topic:l') OR starts_with(cls, 'topic:m')""",
 )
 def receipts_touching_class(spark, sf_dir):
-    made = built(spark, sf_dir)
-    rows = reports.touching(made, "topic:l").unionByName(reports.touching(made, "topic:m"))
+    rows = reports.touching(stored(spark, sf_dir), "topic:l", "topic:m")
     return rows.select(
         "receipt_id", "timestamp", "model_id", "class", F.array_join("verdicts", ",").alias("verdicts"),
         F.sha2("prompt_text", 256).alias("prompt_sha"),
@@ -237,7 +253,7 @@ def receipts_touching_class(spark, sf_dir):
     f"""{_TOUCHED_SQL} SELECT DISTINCT receipt_id FROM touched WHERE starts_with(cls, 'topic:g') AND ts_text > '2025-01-03'""",
 )
 def receipts_having_class(spark, sf_dir):
-    return reports.having_class(built(spark, sf_dir), "topic:g", "2025-01-03").select("receipt.receipt_id")
+    return reports.having_class(stored(spark, sf_dir), "topic:g", "2025-01-03").select("receipt.receipt_id")
 
 
 _BLOCKS_SQL = """[x FOR x IN [CASE WHEN pg > 0 THEN 'p_block_german[topic:german]' END,
@@ -251,7 +267,7 @@ _BLOCKS_SQL = """[x FOR x IN [CASE WHEN pg > 0 THEN 'p_block_german[topic:german
 )
 def enforced_blocks(spark, sf_dir):
     shown = F.transform("blocks", lambda b: F.concat(b["policy_id"], F.lit("["), F.array_join(b["matched_classes"], ","), F.lit("]")))
-    return reports.enforced_blocks(built(spark, sf_dir)).select(
+    return reports.enforced_blocks(stored(spark, sf_dir)).select(
         "receipt_id", "timestamp", "actor", F.sha2("prompt", 256).alias("prompt_sha"), F.array_join(shown, ";").alias("blocks")
     )
 
@@ -266,14 +282,14 @@ def today():
     f"{_RECEIPTS_SQL} SELECT receipt_id, retain_until FROM receipts WHERE NOT legal_hold AND retain_until < '2025-02-03'",
 )
 def prune_candidates(spark, sf_dir):
-    return reports.prune_candidates(built(spark, sf_dir), today())
+    return reports.prune_candidates(stored(spark, sf_dir), today())
 
 
 @CATALOG.query(
     "prune_by_age", f"{_RECEIPTS_SQL} SELECT receipt_id FROM receipts WHERE NOT legal_hold AND ts::DATE < DATE '2025-01-04'"
 )
 def prune_by_age(spark, sf_dir):
-    return reports.older_than(built(spark, sf_dir), today(), 30).select("receipt.receipt_id")
+    return reports.older_than(stored(spark, sf_dir), today(), 30).select("receipt.receipt_id")
 
 
 @CATALOG.query(
@@ -282,17 +298,17 @@ def prune_by_age(spark, sf_dir):
         GROUP BY 1 HAVING NOT bool_or(legal_hold)""",
 )
 def prune_emptied_days(spark, sf_dir):
-    return reports.emptied_days(built(spark, sf_dir), today(), 30)
+    return reports.emptied_days(stored(spark, sf_dir), today(), 30)
 
 
 @CATALOG.query("resource_lookup", f"{_RECEIPTS_SQL} SELECT receipt_id FROM receipts WHERE conv_id % 10 = 4")
 def resource_lookup(spark, sf_dir):
-    return reports.mentioning_resource(built(spark, sf_dir), "record:4").select("receipt.receipt_id")
+    return reports.mentioning_resource(stored(spark, sf_dir), "record:4").select("receipt.receipt_id")
 
 
 @CATALOG.query("resource_text_search", f"{_RECEIPTS_SQL} SELECT receipt_id FROM receipts WHERE conv_id % 10 = 4")
 def resource_text_search(spark, sf_dir):
-    return reports.mentioning_resource_anywhere(built(spark, sf_dir), "record:4").select("receipt.receipt_id")
+    return reports.mentioning_resource_anywhere(stored(spark, sf_dir), "record:4").select("receipt.receipt_id")
 
 
 @CATALOG.query(
@@ -301,7 +317,7 @@ def resource_text_search(spark, sf_dir):
           sha256(final_response) AS response_sha, retain_until, 'OK' AS integrity FROM receipts""",
 )
 def records_packet(spark, sf_dir):
-    packet = reports.records_packet(receipts.verify(built(spark, sf_dir)))
+    packet = reports.records_packet(receipts.verify(stored(spark, sf_dir)))
     return packet.select(
         "receipt_id", "timestamp", "schema_version", F.sha2("prompt_text", 256).alias("prompt_sha"),
         F.sha2("response_text", 256).alias("response_sha"), "retention.retain_until", "integrity",
@@ -310,7 +326,7 @@ def records_packet(spark, sf_dir):
 
 @CATALOG.query("retention_listing", f"{_RECEIPTS_SQL} SELECT receipt_id, retain_until, legal_hold FROM receipts")
 def retention_listing(spark, sf_dir):
-    return reports.retention_listing(built(spark, sf_dir))
+    return reports.retention_listing(stored(spark, sf_dir))
 
 
 _SIEM_SQL = f"""{_RECEIPTS_SQL} SELECT receipt_id, ts_text AS timestamp, user_id, 'desk' AS tool_id, model_id,
@@ -319,7 +335,7 @@ _SIEM_SQL = f"""{_RECEIPTS_SQL} SELECT receipt_id, ts_text AS timestamp, user_id
 
 @CATALOG.query("siem_rows", _SIEM_SQL)
 def siem_rows(spark, sf_dir):
-    rows = reports.siem_rows(built(spark, sf_dir))
+    rows = reports.siem_rows(stored(spark, sf_dir))
     return rows.withColumn("verdicts", F.array_join("verdicts", ",")).select(
         "receipt_id", "timestamp", "user_id", "tool_id", "model_id", "verdicts"
     )
@@ -330,7 +346,7 @@ def siem_rows(spark, sf_dir):
     f"""{_RECEIPTS_SQL} SELECT receipt_id, user_id AS actor, array_to_string({_VERDICTS_SQL}, ',') AS verdicts FROM receipts""",
 )
 def siem_projection(spark, sf_dir):
-    rows = reports.siem_projection(built(spark, sf_dir).select("raw"))
+    rows = reports.siem_projection(stored(spark, sf_dir).select("raw"))
     return rows.select("receipt_id", "actor", F.array_join("verdicts", ",").alias("verdicts"))
 
 
@@ -340,7 +356,7 @@ def siem_projection(spark, sf_dir):
           max(ts_text) AS latest FROM receipts GROUP BY model_id""",
 )
 def receipt_sql(spark, sf_dir):
-    reports.register(built(spark, sf_dir), "stored_receipts")
+    reports.register(stored(spark, sf_dir), "stored_receipts")
     return reports.sql(
         spark,
         """SELECT tool.model_id AS model_id, count(*) AS receipts, sum(response.text_length_chars) AS response_chars,

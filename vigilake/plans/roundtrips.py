@@ -10,10 +10,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from vigilake.operators import classify, policies, receipts, registry, reports, trace, traps
-from vigilake.operators.exchange import evaluate_exchanges
 from vigilake.plans import conversations, traces
 from vigilake.plans import receipts as receipt_plans
-from vigilake.plans.base import CLOCK, FLAGS_SQL, PII, PII_PATTERNS, TALK_POLICIES, TOPIC, Catalog, exchanges, masked_words_sql, table, words_sql
+from vigilake.plans.base import CLOCK, FLAGS_SQL, PII, PII_PATTERNS, TALK_POLICIES, TALK_SQL, TOPIC, Catalog, exchanges, masked_words_sql, table, words_sql
 from vigilake.plans.evaluation import _POLICY_ERRORS_SQL as POLICY_ERRORS_SQL
 from vigilake.plans.evaluation import _POLICY_ID_SQL as POLICY_ID_SQL
 from vigilake.plans.evaluation import CATALOG as EVALUATION
@@ -44,11 +43,47 @@ def stored_receipts_verify(spark, sf_dir):
 @CATALOG.query("stored_receipt_report", receipt_plans.CATALOG.sql["report_by_class"])
 def stored_receipt_report(spark, sf_dir):
     """The class report over the Parquet table: only the class names are read."""
-
-
     path = fresh(spark, "receipt-table")
     sinks.write_receipt_table(receipt_plans.built(spark, sf_dir), path)
-    return reports.by_class(spark.read.parquet(path))
+    return reports.by_class(files.receipt_table(spark, path))
+
+
+def receipt_store(spark, sf_dir):
+    """A receipt tree that grows in two steps and the table that follows it; every seventh receipt was changed on its way."""
+    tree, table_path, name = fresh(spark, "growing-tree"), fresh(spark, "growing-table"), f"store-{uuid.uuid4().hex}"
+    made = receipt_plans.built(spark, sf_dir)
+    changed = F.when(F.col("exchange_id") % 7 == 3, F.regexp_replace("raw", '"tool_id":"desk"', '"tool_id":"other"')).otherwise(F.col("raw"))
+    lines_ = made.select("exchange_id", "day", changed.alias("value"))
+    for odd in (0, 1):
+        part = lines_.where(F.pmod("exchange_id", F.lit(2)) == odd).drop("exchange_id")
+        part.write.mode("append").partitionBy("day").text(tree)
+        jobs.store_receipts(spark, tree, table_path, name, once=True).awaitTermination()
+    return files.receipt_table(spark, table_path)
+
+
+@CATALOG.query(
+    "receipt_store_rows",
+    f"""{receipt_plans._RECEIPTS_SQL} SELECT receipt_id, ts::DATE AS day, legal_hold AS held,
+          CASE WHEN exchange_id % 7 = 3 THEN 'FAIL' ELSE 'OK' END AS status FROM receipts""",
+)
+def receipt_store_rows(spark, sf_dir):
+    """Receipts verified once, when their files land."""
+    return receipt_store(spark, sf_dir).select("receipt.receipt_id", "day", "held", "status")
+
+
+@CATALOG.query(
+    "receipt_store_sql",
+    f"""{receipt_plans._RECEIPTS_SQL} SELECT CASE WHEN exchange_id % 7 = 3 THEN 'other' ELSE 'desk' END AS tool_id, ts::DATE AS day, count(*) AS receipts,
+          sum(length(final_response)) AS response_chars FROM receipts WHERE ts::DATE >= DATE '2025-01-02' GROUP BY ALL""",
+)
+def receipt_store_sql(spark, sf_dir):
+    """SQL over the scanned receipts; the day selects partitions."""
+    reports.register(receipt_store(spark, sf_dir), "scanned_receipts")
+    return reports.sql(
+        spark,
+        """SELECT tool.tool_id AS tool_id, day, count(*) AS receipts, sum(response.text_length_chars) AS response_chars
+           FROM scanned_receipts WHERE day >= DATE '2025-01-02' GROUP BY tool.tool_id, day""",
+    )
 
 
 @CATALOG.query("siem_export", receipt_plans.CATALOG.sql["siem_rows"])
@@ -251,14 +286,19 @@ def drained(spark, stream, name: str, schema: str, query_name: str | None = None
     return spark.read.schema(schema).parquet(path)
 
 
-@CATALOG.query("stream_receipts", receipt_plans.CATALOG.sql["receipts_built"].split("SELECT exchange_id, receipt_id")[0]
-               + "SELECT exchange_id, verdict, sha256(final_prompt) AS prompt_sha, sha256(final_response) AS response_sha FROM receipts")
+@CATALOG.query(
+    "stream_receipts",
+    f"""WITH {TALK_SQL} SELECT 'rcp_2025-03-04T05-06-07_' || substr(sha256(exchange_id::VARCHAR), 1, 24) AS receipt_id, 'OK' AS status,
+          'sha256:' || sha256(final_prompt) AS prompt_hash, 'sha256:' || sha256(final_response) AS response_hash FROM talk""",
+)
 def stream_receipts(spark, sf_dir):
+    """Exchanges become receipt lines as they arrive; the lines are read back and verified."""
     stream = staged(spark, exchanges(spark, sf_dir), "exchanges")
-    done = evaluate_exchanges(stream, [TOPIC], TALK_POLICIES, CLOCK).select(
-        "exchange_id", "verdict", F.sha2("final_prompt", 256).alias("prompt_sha"), F.sha2("final_response", 256).alias("response_sha")
-    )
-    return drained(spark, done, "receipts", "exchange_id bigint, verdict string, prompt_sha string, response_sha string")
+    path = fresh(spark, "out-receipts")
+    jobs.start_receipts(jobs.receipts_of_exchanges(stream, [TOPIC], TALK_POLICIES, CLOCK), path, f"receipts-{uuid.uuid4().hex}", once=True).awaitTermination()
+    stored = receipts.verify(files.with_receipt(files.receipt_lines(spark, path)))
+    r = F.col("receipt")
+    return stored.select(r["receipt_id"].alias("receipt_id"), "status", r["prompt"]["text_hash"].alias("prompt_hash"), r["response"]["text_hash"].alias("response_hash"))
 
 
 @CATALOG.query("stream_siem", receipt_plans.CATALOG.sql["siem_rows"])

@@ -4,6 +4,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.operators import reports
+from vigilake.operators.reports import held
+
+RECEIPT_PARTITIONS = ("day", "held")
 
 
 def write_receipts(built: DataFrame, path: str, mode: str = "append") -> None:
@@ -16,8 +19,11 @@ def write_receipts(built: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def write_receipt_table(built: DataFrame, path: str, mode: str = "append") -> None:
-    """Typed receipts with their raw text as Parquet, partitioned by day, for reports."""
-    built.select("receipt", "raw", "day").write.mode(mode).partitionBy("day").parquet(path)
+    """Typed receipts with their raw text as Parquet for reports, partitioned by day and legal hold.
+
+    Both partition columns answer the pruning questions without a look into the receipts.
+    """
+    built.select("receipt", "raw", "day", held().alias("held")).write.mode(mode).partitionBy(*RECEIPT_PARTITIONS).parquet(path)
 
 
 def write_nodes(nodes: DataFrame, path: str, mode: str = "append", by: tuple[str, ...] = ()) -> None:

@@ -22,6 +22,13 @@ def receipt_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return lines.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
 
 
+def receipt_table(spark: SparkSession, path: str) -> DataFrame:
+    """Stored receipts (receipt, raw, day, held; ``status`` where they were verified on their way in), for reports."""
+    stored = spark.read.parquet(path)
+    extra = "".join(f", {c} string" for c in ("path", "status") if c in stored.columns)
+    return spark.read.schema(f"receipt {schemas.RECEIPT}, raw string{extra}, day date, held boolean").parquet(path)
+
+
 def with_receipt(raw_receipts: DataFrame, raw: str = "raw") -> DataFrame:
     """Add the declared ``receipt`` struct and ``day``; unreadable receipts get NULLs."""
     typed = raw_receipts.withColumn("receipt", F.from_json(raw, schemas.RECEIPT))

@@ -11,9 +11,10 @@ from vigilake.operators import reports, sanitize, traffic, traps
 from vigilake.operators.evaluate import Clock
 from vigilake.operators.exchange import evaluate_exchanges, evaluate_single_phase
 from vigilake.operators.policies import PolicySet
-from vigilake.operators.receipts import build_receipts
+from vigilake.operators.receipts import build_receipts, verify
 from vigilake.operators.taxonomy import Taxonomy
 from vigilake.session import checkpoint_dir
+from vigilake.sinks.files import RECEIPT_PARTITIONS
 from vigilake.sources.files import with_receipt
 from vigilake.streaming import state
 
@@ -32,7 +33,20 @@ def receipts_of_exchanges(
 def tail_receipts(spark: SparkSession, path: str, max_files: int = 10_000) -> DataFrame:
     """Receipts as their files land, one per line."""
     lines = spark.readStream.option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files).text(path)
-    return with_receipt(lines.withColumnRenamed("value", "raw"))
+    return with_receipt(lines.select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("path")))
+
+
+def store_receipts(spark: SparkSession, tree: str, table: str, name: str = "store", once: bool = False) -> StreamingQuery:
+    """Keep a table for reports up to date with a growing receipt tree.
+
+    Each file is read, parsed and verified once, when it lands; the table is partitioned by day and
+    legal hold and keeps the outcome as ``status``, unreadable receipts included (their day is NULL).
+    """
+    landed = tail_receipts(spark, tree)
+    rows = verify(landed).select("receipt", "raw", "path", "status", "day", reports.held().alias("held"))
+    writer = rows.writeStream.format("parquet").partitionBy(*RECEIPT_PARTITIONS).option("path", table)
+    writer = writer.option("checkpointLocation", _checkpoint(rows, name)).queryName(name).outputMode("append")
+    return _start(writer, spark, once)
 
 
 def siem_lines(receipts: DataFrame) -> DataFrame:
