@@ -9,14 +9,15 @@ one super-window, so every window is in exactly one of them.
 - An anchor with one super-window that occurs once has no partner: nothing repeats there.
 - The super-windows of all other anchors are dealt into shards by anchor, and a suffix array by
   induced sorting with its permuted common prefixes (``suffixes.py``) says which windows repeat.
-- An anchor with very many different super-windows is no shard: its windows are counted one by one
-  by hash, so no task gets a whole hot anchor.
+- An anchor with very many different super-windows is no shard: its super-windows are cut again by
+  longer anchors, and at last by whole windows, so no task gets a whole hot anchor.
 
 What leaves each branch are the runs of windows that do not repeat; all others are removed.
 """
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,8 @@ from vigilake.llm.common import staged, table
 from vigilake.llm.suffixes import repeated
 
 LENGTH = 200
-ANCHOR = 32
+# Bytes of the anchors that hot ones are cut by, one after the other; windows themselves come last.
+ANCHORS = (32, 128, 184)
 # Text bytes worked on at a time; a longer text is cut into overlapping parts, which
 # changes its super-windows but not their windows or anchors.
 BLOCK = 1 << 20
@@ -42,17 +44,18 @@ SPLIT_ROWS = 2000
 
 _PLACE = np.uint64((1 << 21) - 1)
 _TABLE = np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64)
-_ODD = [np.uint64(x | 1) for x in np.random.default_rng(12).integers(1 << 62, 1 << 63, 6, np.int64).tolist()]
+_ODD = [np.uint64(x | 1) for x in np.random.default_rng(12).integers(1 << 62, (1 << 63) - 1, 24, np.int64).tolist()]
 
 
 def _anchors(raw: np.ndarray, width: int) -> np.ndarray:
-    """A hash of the ``width`` bytes (a power of two) from every place on."""
-    h, step, k = _TABLE[raw], 1, 0
-    while step < width:
+    """A hash of the ``width`` bytes from every place on."""
+    h, size, k = _TABLE[raw], 1, 0
+    while size < width:
+        step = min(size, width - size)  # the last two halves may overlap
         h = h[:-step] * _ODD[k] + h[step:]
         h ^= h >> np.uint64(31)
-        step, k = 2 * step, k + 1
-    h = h * _ODD[5]
+        size, k = size + step, k + 1
+    h = h * _ODD[-1]
     return h ^ (h >> np.uint64(29))
 
 
@@ -65,7 +68,7 @@ def _least(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(v[: len(v) - (width - step)], v[width - step :]) if width > step else v
 
 
-def super_windows(raw: np.ndarray, bounds: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def super_windows(raw: np.ndarray, bounds: np.ndarray, length: int = LENGTH, anchor: int = ANCHORS[0]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(part, start, windows, anchor hash) of the super-windows of texts behind one another.
 
     Text i is ``raw[bounds[i]:bounds[i + 1]]``; windows never cross a bound. ``raw`` holds at most 2^21 bytes.
@@ -96,18 +99,18 @@ def _placed(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("data"))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[list[tuple[int, int]], list[bytes]]]:
-    """Parts of texts, as (rid, offset) and bytes, together of at most about ``BLOCK`` bytes."""
+def _blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[list[tuple[int, int, int]], list[bytes]]]:
+    """Parts of texts, as (rid, start, n) and bytes, together of at most about ``BLOCK`` bytes."""
     names, parts, held = [], [], 0
     for batch in batches:
-        for rid, value in zip(batch.column("rid").to_numpy(), batch.column("data"), strict=True):
+        for rid, start, n, value in zip(*(batch.column(c).to_pylist() for c in ("rid", "start", "n")), batch.column("data"), strict=True):
             data = value.as_buffer()
             for at in range(0, max(data.size - length + 1, 0), BLOCK):
                 part = data.slice(at, min(BLOCK + length - 1, data.size - at)).to_pybytes()
                 if parts and held + len(part) > BLOCK:
                     yield names, parts
                     names, parts, held = [], [], 0
-                names.append((int(rid), at))
+                names.append((rid, start + at, n))
                 parts.append(part)
                 held += len(part)
     if parts:
@@ -118,65 +121,81 @@ def _signed(values) -> np.ndarray:
     return np.asarray(values, np.uint64).view(np.int64)
 
 
-def _counted(texts: DataFrame, length: int) -> DataFrame:
-    """(anchor, key, rid, start, windows, n) of every different super-window; place and text are one it occurs at."""
+def _counted(texts: DataFrame, length: int, anchor: int) -> DataFrame:
+    """(anchor, key, rid, start, windows, n) of every different super-window of (rid, start, n, data): one place and all occurrences."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for names, parts in _blocks(batches, length):
             joint = b"".join(parts)
             bounds = np.append(0, np.cumsum([len(p) for p in parts]))
-            part, start, count, anchor = super_windows(np.frombuffer(joint, np.uint8), bounds, length)
+            part, start, count, anchors = super_windows(np.frombuffer(joint, np.uint8), bounds, length, anchor)
             if not len(part):
                 continue
             low = bounds[part] + start
             keys = [xxhash.xxh3_64_intdigest(joint[a:b]) for a, b in zip(low.tolist(), (low + count + length - 1).tolist(), strict=True)]
-            rid, offset = np.array(names, np.int64)[part].T
-            arrays = [_signed(anchor), _signed(keys), rid, offset + start, count]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["anchor", "key", "rid", "start", "windows"])
+            rid, offset, n = np.array(names, np.int64)[part].T
+            arrays = [_signed(anchors), _signed(keys), rid, offset + start, count, n]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["anchor", "key", "rid", "start", "windows", "n"])
 
-    rows = texts.mapInArrow(find, "anchor bigint, key bigint, rid bigint, start bigint, windows bigint")
-    # Only the place of a super-window that occurs once is used alone; for others text and place go together
-    # in one decimal, which has a fixed width and is aggregated in place.
+    rows = texts.mapInArrow(find, "anchor bigint, key bigint, rid bigint, start bigint, windows bigint, n bigint")
+    # Text and place go together in one decimal, which has a fixed width and is aggregated in place.
     place = F.col("rid").cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("start")
-    found = rows.select("anchor", "key", place.cast("decimal(38,0)").alias("place"), "windows")
-    found = found.groupBy("anchor", "key").agg(F.min("place").alias("place"), F.min("windows").alias("windows"), F.count("*").alias("n"))
+    found = rows.select("anchor", "key", place.cast("decimal(38,0)").alias("place"), "windows", "n")
+    found = found.groupBy("anchor", "key").agg(F.min("place").alias("place"), F.min("windows").alias("windows"), F.sum("n").alias("n"))
     rid = F.expr("place div 4294967296").cast("bigint")
     return found.select("anchor", "key", rid.alias("rid"), (F.col("place") - rid.cast("decimal(38,0)") * (1 << 32)).cast("bigint").alias("start"), "windows", "n")
 
 
 def single_runs(docs: DataFrame, text: str = "text", length: int = LENGTH, hot: int = HOT_ANCHOR, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(rid, start, windows): runs of windows that occur nowhere else; ``rid`` as in ``_placed``."""
-    texts = _placed(docs, text)
-    counted = staged(_counted(texts, length), "super-windows")
-    by_anchor = counted.groupBy("anchor").agg(
-        F.count("*").alias("kinds"), F.sum("n").alias("total"), F.min("rid").alias("rid"), F.min("start").alias("start"), F.min("windows").alias("windows")
-    )
-    alone = by_anchor.where("total = 1").select("rid", "start", "windows")
-    shared = by_anchor.where("kinds > 1").select("anchor", "kinds")
-    met = staged(salted_lookup(counted, shared, "anchor", "inner", "key", SPLIT_ROWS), "shared-anchors")
-
-    bytes_ = (F.col("windows") + length).cast("bigint")
-    total = met.where(F.col("kinds") <= hot).agg(F.sum(bytes_)).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    texts, runs = _placed(docs, text).select("rid", zero.alias("start"), one.alias("n"), "data"), []
+    for anchor in ANCHORS:
+        counted = staged(_counted(texts, length, anchor), f"super-windows-{anchor}")
+        by_anchor = counted.groupBy("anchor").agg(
+            F.count("*").alias("kinds"), F.sum("n").alias("total"), F.min("rid").alias("rid"), F.min("start").alias("start"), F.min("windows").alias("windows")
+        )
+        runs.append(by_anchor.where("total = 1").select("rid", "start", "windows"))
+        shared = by_anchor.where("kinds > 1").select("anchor", "kinds")
+        met = staged(salted_lookup(counted, shared, "anchor", "inner", "key", SPLIT_ROWS), f"shared-anchors-{anchor}")
+        total = met.where(F.col("kinds") <= hot).agg(F.sum(F.col("windows") + length)).first()[0] or 0
+        pieces = staged(_pieces(texts, met, length, hot), f"pieces-{anchor}")
+        runs.append(_sorted(pieces.where(~F.col("hot")), max(1, -(-total // shard_bytes)), length, shard_bytes))
+        texts = pieces.where("hot").select("rid", "start", "n", F.col("piece").alias("data"))
+        if texts.isEmpty():
+            break
+    else:
+        # Windows one by one: no window is its own partner, so counting is enough.
+        runs.append(_counted(texts, length, length).where("n = 1").select("rid", "start", "windows"))
+    return reduce(DataFrame.union, runs)
+
+
+def _pieces(texts: DataFrame, met: DataFrame, length: int, hot: int) -> DataFrame:
+    """(anchor, rid, start, n, piece, hot): the bytes of super-windows, cut from the texts that they are in."""
     # A list is as long as its own text.
     wanted = met.groupBy("rid").agg(F.collect_list(F.struct("anchor", "start", "windows", "n", (F.col("kinds") > hot).alias("hot"))).alias("pieces"))
-    near = texts.join(wanted, "rid")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                data, pieces = batch.column("data")[i].as_buffer(), batch.column("pieces")[i].values
-                anchor, start, count, n = (pieces.field(c).to_numpy() for c in ("anchor", "start", "windows", "n"))
-                kept = [data.slice(a, m + length - 1).to_pybytes() for a, m in zip(start.tolist(), count.tolist(), strict=True)]
-                rid = np.full(len(kept), batch.column("rid")[i].as_py())
-                arrays = [pa.array(x) for x in (anchor, rid, start, n)] + [pa.array(kept, pa.binary()), pieces.field("hot")]
+                data, pieces, low = batch.column("data")[i].as_buffer(), batch.column("pieces")[i].values, batch.column("start")[i].as_py()
+                start = pieces.field("start").to_numpy()
+                pieces = pieces.filter(pa.array((start >= low) & (start < low + data.size - length + 1)))
+                start, count = (pieces.field(c).to_numpy() for c in ("start", "windows"))
+                kept = [data.slice(a - low, m + length - 1).to_pybytes() for a, m in zip(start.tolist(), count.tolist(), strict=True)]
+                rid = pa.array(np.full(len(kept), batch.column("rid")[i].as_py(), np.int64))
+                arrays = [pieces.field("anchor"), rid, pieces.field("start"), pieces.field("n"), pa.array(kept, pa.binary()), pieces.field("hot")]
                 yield pa.RecordBatch.from_arrays(arrays, names=["anchor", "rid", "start", "n", "piece", "hot"])
 
-    pieces = staged(near.mapInArrow(cut, "anchor bigint, rid bigint, start bigint, n bigint, piece binary, hot boolean"), "pieces")
-    dealt = pieces.where(~F.col("hot")).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    near = texts.select("rid", "start", "data").join(wanted, "rid")
+    return near.mapInArrow(cut, "anchor bigint, rid bigint, start bigint, n bigint, piece binary, hot boolean")
+
+
+def _sorted(pieces: DataFrame, shards: int, length: int, shard_bytes: int) -> DataFrame:
+    """Runs of single windows, from a suffix array over the pieces of each shard; an anchor is in one shard."""
 
     def sort(shard: pa.Table) -> pa.Table:
-        order = np.argsort(shard.column("anchor").to_numpy(), kind="stable")
+        order = np.lexsort([shard.column(c).to_numpy() for c in ("start", "rid", "anchor")])
         anchor, rid, start, n = (shard.column(c).to_numpy()[order] for c in ("anchor", "rid", "start", "n"))
         found, column = [], shard.column("piece")
         sizes = np.cumsum(np.array([len(x.as_buffer()) for x in column])[order])
@@ -192,21 +211,8 @@ def single_runs(docs: DataFrame, text: str = "text", length: int = LENGTH, hot:
         rid, start, count = (np.concatenate([f[k] for f in found]) for k in range(3))
         return pa.table({"rid": rid, "start": start, "windows": count})
 
-    sorted_ = dealt.groupBy("shard").applyInArrow(sort, "rid bigint, start bigint, windows bigint")
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                piece = batch.column("piece")[i].as_py()
-                m = len(piece) - length + 1
-                hashes = [xxhash.xxh3_64_intdigest(piece[k : k + length]) for k in range(m)]
-                row = {c: np.full(m, batch.column(c)[i].as_py()) for c in ("anchor", "rid", "n")}
-                yield pa.RecordBatch.from_pydict(row | {"start": np.arange(m) + batch.column("start")[i].as_py(), "h": _signed(hashes)})
-
-    crowded = pieces.where("hot").mapInArrow(hashed, "anchor bigint, rid bigint, n bigint, start bigint, h bigint")
-    crowded = crowded.groupBy("anchor", "h").agg(F.sum("n").alias("n"), F.min("rid").alias("rid"), F.min("start").alias("start"))
-    crowded = crowded.where("n = 1").select("rid", "start", F.lit(1).cast("bigint").alias("windows"))
-    return alone.union(sorted_).union(crowded)
+    dealt = pieces.select("anchor", "rid", "start", "n", "piece", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
+    return dealt.groupBy("shard").applyInArrow(sort, "rid bigint, start bigint, windows bigint")
 
 
 def _runs(parts, rid, start, once, found, length) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
