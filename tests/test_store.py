@@ -55,3 +55,14 @@ def test_store_keeps_unreadable_receipts_and_reads_files_once(spark, tmp_path):
         jobs.store_receipts(spark, tree, table, name, once=True).awaitTermination()
     stored = files.receipt_table(spark, table)
     assert sorted((r.status, r.day is None) for r in stored.collect()) == [("FAIL", True)] * 2 + [("OK", False)] * 6
+
+
+def test_parents_are_looked_up_in_the_store(spark):
+    text = plan(catalog.all_queries()["parent_lookup"](spark, SF))
+    assert len(re.findall("FileScan parquet", text)) <= 4 and "Python" not in text and "events.parquet" not in text
+
+
+@pytest.mark.parametrize("name", ["strip_blocks", "purge_marked"])
+def test_history_reads_marked_turns_once_written(spark, name):
+    text = plan(catalog.all_queries()[name](spark, SF))
+    assert "conversations.parquet" not in text and len(re.findall("FileScan parquet", text)) <= 2

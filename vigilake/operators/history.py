@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from vigilake.functions.spread import prefix_sum, salted_lookup
 from vigilake.functions.text import truthy
+from vigilake.functions.written import written
 
 USER = ("user", "human")
 ASSISTANT = ("assistant", "model")
@@ -81,8 +82,10 @@ def strip_blocks(turns: DataFrame, is_block: str = "is_block") -> DataFrame:
     turns open, blocks close, any other turn is a wall. Between two walls the open
     depth is a running sum with a floor of zero, and a user turn is taken when the
     depth later falls below the one it reached. Walls are counted per conversation
-    in bucketed order, so one long conversation is many tasks.
+    in bucketed order, so one long conversation is many tasks. Marked turns are written
+    once, since numbering and folding read them several times.
     """
+    turns = written(turns, "marked-turns")
     user = F.col("role").isin(*USER) & ~F.col(is_block)
     step = F.when(user, 1).when(F.col(is_block), -1).otherwise(0)
     wall = F.when(step == 0, 1).otherwise(0)
@@ -126,9 +129,11 @@ def purge_marked(turns: DataFrame, is_block: str = "is_block") -> DataFrame:
     """Drop turns marked as block responses and user turns directly followed by one.
 
     Turns are numbered without gaps first; the next turn is then an equal join on
-    (conversation, number), which has no hot key, instead of a window.
+    (conversation, number), which has no hot key, instead of a window. Marked turns and then
+    numbered ones are written once.
     """
-    numbered = prefix_sum(turns, ["conv_id"], F.floor(F.col("turn") / BLOCK_TURNS), ["turn"], "__n")
+    turns = written(turns, "marked-turns")
+    numbered = written(prefix_sum(turns, ["conv_id"], F.floor(F.col("turn") / BLOCK_TURNS), ["turn"], "__n"), "numbered-turns")
     marked = numbered.where(F.col(is_block)).select("conv_id", (F.col("__n") - 1).alias("__n"), F.lit(True).alias("__next"))
     joined = numbered.join(marked, ["conv_id", "__n"], "left")
     followed = F.col("role").isin(*USER) & F.coalesce("__next", F.lit(False))

@@ -1,6 +1,7 @@
 """Config and tables the queries share, and SQL pieces that say the same in DuckDB."""
 
 import datetime
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from vigilake.functions.spread import spread
 from vigilake.operators.evaluate import OUTCOME, RANK, Clock
 from vigilake.operators.policies import Policy, PolicySet
 from vigilake.operators.taxonomy import taxonomy
-from vigilake.session import configure
+from vigilake.session import checkpoint_dir, configure
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +47,19 @@ def table(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
     return spread(df, *keys) if keys else df
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored_once(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
+    """Folder of a table that queries read as they would find it stored: written once per session and test tables."""
+    key = spark.sparkContext.applicationId, str(sf_dir), name
+    if key not in _STORED:
+        path = f"{checkpoint_dir(spark).rstrip('/')}/vigilake/{name}-{uuid.uuid4().hex}"
+        write(path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
 # --- documents: numbers and addresses ---------------------------------------
 
 CARD, EMAIL, IP = r"\b\d{16}\b", r"\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b", r"\b\d{1,3}(?:\.\d{1,3}){3}\b"

@@ -1,7 +1,5 @@
 """Receipt queries: building, hashing, verifying, validating, reporting."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from vigilake.operators import receipts, reports, validate
@@ -9,9 +7,8 @@ from vigilake.operators.receipts import build_receipts
 from vigilake.operators.exchange import evaluate_exchanges
 from vigilake.operators.policies import EMPTY_SET, PolicySet
 from vigilake.operators.taxonomy import taxonomy
-from vigilake.plans.base import CLOCK, NOW, NOW_ISO, TALK_SQL, Catalog, table
+from vigilake.plans.base import CLOCK, NOW, NOW_ISO, TALK_SQL, Catalog, stored_once, table
 from vigilake.plans.evaluation import documents, talk
-from vigilake.session import checkpoint_dir
 from vigilake.sinks import files as sinks
 from vigilake.sources import files
 
@@ -179,17 +176,10 @@ def receipt_validation(spark, sf_dir):
 
 # --- reports: over receipts as they are stored --------------------------------
 
-_STORED: dict[tuple[str, str], str] = {}
-
-
 def stored(spark, sf_dir):
-    """The receipts' table, written once per session and tables, as reports find it."""
-    key = spark.sparkContext.applicationId, str(sf_dir)
-    if key not in _STORED:
-        path = f"{checkpoint_dir(spark).rstrip('/')}/vigilake/receipt-store-{uuid.uuid4().hex}"
-        sinks.write_receipt_table(built(spark, sf_dir), path)
-        _STORED[key] = path
-    return files.receipt_table(spark, _STORED[key])
+    """The receipts' table, as reports find it."""
+    path = stored_once(spark, sf_dir, "receipt-store", lambda path: sinks.write_receipt_table(built(spark, sf_dir), path))
+    return files.receipt_table(spark, path)
 
 
 @CATALOG.query("receipt_count", f"{_RECEIPTS_SQL} SELECT count(*) AS receipts FROM receipts")

@@ -141,7 +141,7 @@ def stored_nodes(spark, sf_dir):
 @CATALOG.query("stored_trap_events", traces.CATALOG.sql["trap_events"])
 def stored_trap_events(spark, sf_dir):
     path = fresh(spark, "trap-events")
-    sinks.write_trap_events(traps.match(traces.nodes(spark, sf_dir), traces.trap_table(spark)), path)
+    sinks.write_trap_events(traps.match(traces.stored(spark, sf_dir), traces.trap_table(spark)), path)
     texts = "trap_id string, `on` string, action string, node_id string, node_type string, node_name string, audit_flags array<string>"
     return spark.read.schema(texts).json(path).withColumn("audit_flags", F.array_join("audit_flags", ","))
 
@@ -313,7 +313,7 @@ def stream_siem(spark, sf_dir):
 
 @CATALOG.query("stream_traps", traces.CATALOG.sql["trap_events"])
 def stream_traps(spark, sf_dir):
-    nodes = staged(spark, traces.nodes(spark, sf_dir).select("node_id", "type", "name", "audit_flags"), "nodes")
+    nodes = staged(spark, traces.stored(spark, sf_dir).select("node_id", "type", "name", "audit_flags"), "nodes")
     fired = jobs.live_traps(nodes, traces.trap_table(spark)).withColumn("audit_flags", F.array_join("audit_flags", ","))
     schema = "trap_id string, `on` string, action string, node_id string, node_type string, node_name string, audit_flags string"
     return drained(spark, fired, "traps", schema)

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from vigilake import schemas
 from vigilake.operators import registry, trace, traps
-from vigilake.plans.base import Catalog, table
+from vigilake.plans.base import Catalog, stored_once, table
+from vigilake.sinks import files as sinks
 
 CATALOG = Catalog()
 
@@ -78,6 +79,12 @@ def nodes(spark, sf_dir):
     return trace.translate(hook_events(spark, sf_dir))
 
 
+def stored(spark, sf_dir):
+    """The nodes as a stored table, which is what the questions about traces are asked of."""
+    made = lambda path: sinks.write_node_table(nodes(spark, sf_dir), path)
+    return spark.read.parquet(stored_once(spark, sf_dir, "node-store", made))
+
+
 @CATALOG.query(
     "translate_nodes",
     f"""{_HOOKS_SQL} SELECT line_no, stamp AS timestamp, node_id, parent_id, type, name, provenance, flags AS audit_flags, outputs,
@@ -132,7 +139,7 @@ def low_confidence_flag(spark, sf_dir):
     f"""{_HOOKS_SQL} SELECT node_id, name FROM nodes WHERE type = 'NODE_TOOL' AND contains(flags, 'FLAG_CIRCULAR_REASONING')""",
 )
 def filtered_nodes(spark, sf_dir):
-    return trace.filter_nodes(nodes(spark, sf_dir), "NODE_TOOL", "FLAG_CIRCULAR_REASONING").select("node_id", "name")
+    return trace.filter_nodes(stored(spark, sf_dir), "NODE_TOOL", "FLAG_CIRCULAR_REASONING").select("node_id", "name")
 
 
 @CATALOG.query(
@@ -145,7 +152,7 @@ def filtered_nodes(spark, sf_dir):
 )
 def parent_lookup(spark, sf_dir):
     """Eight characters of the session id make node ids collide across sessions: the last one counts."""
-    return trace.with_parent(nodes(spark, sf_dir)).select("line_no", "node_id", "parent_id", "parent_type", "parent_inputs")
+    return trace.with_parent(stored(spark, sf_dir)).select("line_no", "node_id", "parent_id", "parent_type", "parent_inputs")
 
 
 @CATALOG.query(
@@ -155,7 +162,7 @@ def parent_lookup(spark, sf_dir):
         FROM nodes WHERE parent_id IS NOT NULL""",
 )
 def edges(spark, sf_dir):
-    return trace.edges(nodes(spark, sf_dir)).select("from", "to", "type")
+    return trace.edges(stored(spark, sf_dir)).select("from", "to", "type")
 
 
 @CATALOG.query(
@@ -253,7 +260,7 @@ _EVENTS_SQL = f"""{_HOOKS_SQL}, traps(trap_id, "on", action, flag) AS (VALUES
 
 @CATALOG.query("trap_events", f"{_EVENTS_SQL} SELECT * FROM fired")
 def trap_events(spark, sf_dir):
-    fired = traps.match(nodes(spark, sf_dir), trap_table(spark))
+    fired = traps.match(stored(spark, sf_dir), trap_table(spark))
     return fired.withColumn("audit_flags", F.array_join("audit_flags", ","))
 
 
@@ -263,7 +270,7 @@ def trap_events(spark, sf_dir):
 )
 def trap_summary(spark, sf_dir):
     table_ = trap_table(spark)
-    return traps.summary(traps.match(nodes(spark, sf_dir), table_), table_)
+    return traps.summary(traps.match(stored(spark, sf_dir), table_), table_)
 
 
 @CATALOG.query(

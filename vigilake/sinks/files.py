@@ -40,6 +40,11 @@ def write_nodes(nodes: DataFrame, path: str, mode: str = "append", by: tuple[str
     nodes.select(*by, line.alias("value")).write.mode(mode).partitionBy(*by).text(path)
 
 
+def write_node_table(nodes: DataFrame, path: str, mode: str = "append") -> None:
+    """Trace nodes as Parquet, the form in which filters, parents, edges and traps read them."""
+    nodes.write.mode(mode).parquet(path)
+
+
 def write_trap_events(events: DataFrame, path: str, mode: str = "append") -> None:
     members = F.struct("trap_id", "on", "action", "node_id", "node_type", "node_name", "audit_flags")
     events.select(F.to_json(members, {"ignoreNullFields": "false"}).alias("value")).write.mode(mode).text(path)
