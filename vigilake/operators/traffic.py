@@ -328,14 +328,17 @@ def parsed(traffic: DataFrame) -> DataFrame:
 
 
 def normalise(traffic: DataFrame) -> DataFrame:
-    """Logged bodies to exchanges: adds ``prompt`` and ``response`` texts."""
+    """Logged bodies to exchanges: adds ``prompt`` and ``response`` texts.
+
+    A call without an answer, or with an unreadable one, has a NULL response: its second phase did not take place.
+    """
     bodies = parsed(traffic)
     request, answer = F.col("request"), F.col("response")
     return with_once(
         bodies.withColumnRenamed("response", "__response"),
         {
             "prompt": per_surface(lambda s: prompt_text(request, s)),
-            "response": per_surface(lambda s: response_text(F.col("__response"), s)),
+            "response": F.when(F.col("__response").isNotNull(), per_surface(lambda s: response_text(F.col("__response"), s))),
         },
     ).drop("request", "__response")
 
@@ -349,10 +352,11 @@ def assistant_turns(traffic: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def redacted_responses(traffic: DataFrame, text: str) -> DataFrame:
-    """Add ``rewritten``: the response body with its text replaced by the column ``text``."""
+    """Add ``rewritten``: the response body with its text replaced by the column ``text``; NULL without an answer."""
     new = F.col(text)
     bodies = parsed(traffic)
-    made = with_once(bodies, {"__new": per_surface(lambda s: rewrite_response(F.col("response"), s, new))})
+    answered = F.col("response").isNotNull()
+    made = with_once(bodies, {"__new": F.when(answered, per_surface(lambda s: rewrite_response(F.col("response"), s, new)))})
     return made.withColumn("rewritten", F.to_json("__new")).drop("__new", "request", "response")
 
 

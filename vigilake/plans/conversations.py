@@ -17,8 +17,8 @@ _EARLIER = "earlier question"
 
 
 def api_traffic(spark, sf_dir):
-    """Request and response bodies in all five shapes, built from exchanges."""
-    pairs = exchanges(spark, sf_dir).where("response is not null")
+    """Request and response bodies in all five shapes, built from exchanges; a call without an answer has no response body."""
+    pairs = exchanges(spark, sf_dir)
     ask, answer = F.col("prompt"), F.col("response")
     lit = F.lit
 
@@ -87,7 +87,7 @@ def api_traffic(spark, sf_dir):
     }
     bodies = F.array(
         *[
-            s(surface=lit(n), request_body=F.to_json(requests[n]), response_body=F.to_json(responses[n]))
+            s(surface=lit(n), request_body=F.to_json(requests[n]), response_body=F.when(answer.isNotNull(), F.to_json(responses[n])))
             for n in traffic.SURFACES
         ]
     )
@@ -103,7 +103,7 @@ _STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
     f"""WITH {EXCHANGES_SQL} SELECT exchange_id, surface, sha256(regexp_replace(
           CASE WHEN surface = 'claude_web' THEN '' ELSE '{_SYSTEM}' || chr(10) || chr(10) END || prompt, '^\\s+|\\s+$', '', 'g')) AS prompt_sha,
           sha256(response || chr(10) || chr(10) || 'And so on.') AS response_sha
-        FROM (SELECT *, {_SURFACES_SQL} FROM exchanges WHERE response IS NOT NULL)""",
+        FROM (SELECT *, {_SURFACES_SQL} FROM exchanges)""",
 )
 def traffic_texts(spark, sf_dir):
     done = traffic.normalise(api_traffic(spark, sf_dir))
@@ -114,8 +114,8 @@ def traffic_texts(spark, sf_dir):
 
 @CATALOG.query(
     "traffic_rewritten",
-    f"""WITH {EXCHANGES_SQL}, bodies AS (SELECT exchange_id, surface, '"#' || exchange_id || '"' AS t
-            FROM (SELECT *, {_SURFACES_SQL} FROM exchanges WHERE response IS NOT NULL))
+    f"""WITH {EXCHANGES_SQL}, bodies AS (SELECT exchange_id, surface, CASE WHEN response IS NOT NULL THEN '"#' || exchange_id || '"' END AS t
+            FROM (SELECT *, {_SURFACES_SQL} FROM exchanges))
        SELECT exchange_id, surface, CASE surface
          WHEN 'gemini' THEN '{{"candidates":[{{"content":{{"parts":[{{"text":' || t || '}}],"role":"model"}},"index":0}}]}}'
          WHEN 'anthropic' THEN '{{"content":[{{"id":"t1","type":"tool_use"}},{{"text":' || t || ',"type":"text"}}],"model":"m"}}'
@@ -131,7 +131,7 @@ def traffic_rewritten(spark, sf_dir):
 @CATALOG.query(
     "traffic_assistant_turns",
     f"""WITH {EXCHANGES_SQL} SELECT exchange_id, surface, CASE WHEN surface LIKE 'chatgpt%' THEN 2 ELSE 1 END AS pos,
-          'old answer ' || exchange_id AS text FROM (SELECT *, {_SURFACES_SQL} FROM exchanges WHERE response IS NOT NULL)""",
+          'old answer ' || exchange_id AS text FROM (SELECT *, {_SURFACES_SQL} FROM exchanges)""",
 )
 def traffic_assistant_turns(spark, sf_dir):
     return traffic.assistant_turns(api_traffic(spark, sf_dir), ["exchange_id", "surface"])
@@ -145,7 +145,7 @@ def traffic_assistant_turns(spark, sf_dir):
          WHEN 'chatgpt' THEN '{{"content":"new","role":"assistant"}}'
          WHEN 'chatgpt_web' THEN '{{"author":{{"role":"assistant"}},"content":{{"content_type":"text","parts":["new"]}}}}'
          ELSE '{{"sender":"assistant","text":"new"}}' END AS turn
-        FROM (SELECT *, {_SURFACES_SQL} FROM exchanges WHERE response IS NOT NULL)""",
+        FROM (SELECT *, {_SURFACES_SQL} FROM exchanges)""",
 )
 def traffic_turn_rewritten(spark, sf_dir):
     bodies = traffic.parsed(api_traffic(spark, sf_dir))
@@ -157,7 +157,7 @@ def traffic_turn_rewritten(spark, sf_dir):
 @CATALOG.query(
     "traffic_block_payloads",
     f"""WITH {EXCHANGES_SQL} SELECT exchange_id, surface, 'No: ' || exchange_id AS message
-        FROM (SELECT *, {_SURFACES_SQL} FROM exchanges WHERE response IS NOT NULL)""",
+        FROM (SELECT *, {_SURFACES_SQL} FROM exchanges)""",
 )
 def traffic_block_payloads(spark, sf_dir):
     """Block payloads read back as responses give the block message."""
@@ -171,7 +171,7 @@ def traffic_block_payloads(spark, sf_dir):
 @CATALOG.query(
     "traffic_generic_prompts",
     f"""WITH {EXCHANGES_SQL} SELECT exchange_id, surface, CASE WHEN surface NOT IN ('gemini', 'chatgpt_web') THEN sha256(prompt) END AS prompt_sha
-        FROM (SELECT *, {_SURFACES_SQL} FROM exchanges WHERE response IS NOT NULL)""",
+        FROM (SELECT *, {_SURFACES_SQL} FROM exchanges)""",
 )
 def traffic_generic_prompts(spark, sf_dir):
     """Bodies of unknown shape: two of the five keep their text where the generic search does not look."""
