@@ -8,7 +8,8 @@ from vigilake.operators.exchange import evaluate_exchanges
 from vigilake.operators.policies import EMPTY_SET, PolicySet
 from vigilake.operators.taxonomy import taxonomy
 from vigilake.plans.base import CLOCK, NOW, NOW_ISO, TALK_SQL, Catalog, stored_once, table
-from vigilake.plans.evaluation import documents, talk
+from vigilake.plans.evaluation import CATALOG as EVALUATION
+from vigilake.plans.evaluation import documents, sanitized, talk
 from vigilake.sinks import files as sinks
 from vigilake.sources import files
 
@@ -354,13 +355,12 @@ def receipt_sql(spark, sf_dir):
     )
 
 
-_COMPACT_SQL = """SELECT *, '{"evidence":{"device_owner":"' || source || '","receipt_hash":"","timestamp":"2025-03-04T05:06:07Z"},"matched_rules":["' || lang || '"],"verdict":"allow"}' AS body FROM documents"""
+_COMPACT_SQL = f"""SELECT doc_id, '{{"evidence":{{"device_owner":"' || source || '","receipt_hash":"","timestamp":"2025-03-04T05:06:07Z"}},"matched_rules":["'
+    || replace(rules, ',', '","') || '"],"verdict":"' || verdict || '"}}' AS body FROM ({EVALUATION.sql["sanitize"]}) JOIN documents USING (doc_id)"""
 
 
 @CATALOG.query("compact_receipts", f"SELECT doc_id, sha256(body) AS receipt_hash, 'OK' AS status FROM ({_COMPACT_SQL})")
 def compact_receipts(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(
-        "doc_id", "source", F.lit("allow").alias("verdict"), F.array("lang").alias("matched_rules")
-    )
-    made = receipts.compact_receipts(rows, device_owner=F.col("source"), now=F.lit(NOW))
+    """A small receipt of every sanitizer run, with its verdict and the rules that matched."""
+    made = receipts.compact_receipts(sanitized(spark, sf_dir), device_owner=F.col("source"), now=F.lit(NOW))
     return receipts.verify_compact(made).select("doc_id", "receipt_hash", "status")
