@@ -342,9 +342,10 @@ def stream_circular(spark, sf_dir):
     # The events land in three steps and the query runs after each, going on from its state.
     landing, out, name = fresh(spark, "in-logs"), fresh(spark, "out-circular"), f"circular-{uuid.uuid4().hex}"
     bounds = logs.agg(F.min("line_no").alias("lo"), (F.max("line_no") + 1).alias("hi")).first()
-    step = (bounds["hi"] - bounds["lo"] + 2) // 3
+    lo, hi = bounds["lo"] or 0, bounds["hi"] or 0
+    step = max(1, (hi - lo + 2) // 3)
     for i in range(3):
-        low = bounds["lo"] + i * step
+        low = lo + i * step
         logs.where((F.col("line_no") >= low) & (F.col("line_no") < low + step)).write.mode("append").parquet(landing)
         stream = spark.readStream.schema(logs.schema).parquet(landing)
         jobs.start_files(jobs.live_circular(stream), out, name, "parquet", once=True).awaitTermination()

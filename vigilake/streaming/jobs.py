@@ -1,5 +1,6 @@
 """Streaming forms. Where an operator is a narrow stage the batch function is used as it is."""
 
+import threading
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -145,18 +146,23 @@ def audited_streams(
     return evaluate_single_phase(records, taxonomies, policy_set, clock)
 
 
+# One start at a time changes the session's setting.
+_SWITCHED = threading.Lock()
+
+
 def _start(writer, spark: SparkSession, once: bool) -> StreamingQuery:
     if not once:
         return writer.start()
     # An operator with a processing-time timeout asks for another batch forever, so a run
     # over what is there must not go on without data. The query keeps the value it starts with.
     key = "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = spark.conf.get(key, "true")
-    spark.conf.set(key, "false")
-    try:
-        return writer.trigger(availableNow=True).start()
-    finally:
-        spark.conf.set(key, before)
+    with _SWITCHED:
+        before = spark.conf.get(key, "true")
+        spark.conf.set(key, "false")
+        try:
+            return writer.trigger(availableNow=True).start()
+        finally:
+            spark.conf.set(key, before)
 
 
 def start_files(df: DataFrame, path: str, name: str, fmt: str = "json", once: bool = False) -> StreamingQuery:
