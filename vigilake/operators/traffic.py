@@ -330,7 +330,7 @@ def parsed(traffic: DataFrame) -> DataFrame:
 def normalise(traffic: DataFrame) -> DataFrame:
     """Logged bodies to exchanges: adds ``prompt`` and ``response`` texts.
 
-    A call without an answer, or with an unreadable one, has a NULL response: its second phase did not take place.
+    A call without an answer, or with an unreadable one, stays and has an empty response.
     """
     bodies = parsed(traffic)
     request, answer = F.col("request"), F.col("response")
@@ -338,7 +338,7 @@ def normalise(traffic: DataFrame) -> DataFrame:
         bodies.withColumnRenamed("response", "__response"),
         {
             "prompt": per_surface(lambda s: prompt_text(request, s)),
-            "response": F.when(F.col("__response").isNotNull(), per_surface(lambda s: response_text(F.col("__response"), s))),
+            "response": per_surface(lambda s: response_text(F.col("__response"), s)),
         },
     ).drop("request", "__response")
 

@@ -102,7 +102,7 @@ _STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
     "traffic_texts",
     f"""WITH {EXCHANGES_SQL} SELECT exchange_id, surface, sha256(regexp_replace(
           CASE WHEN surface = 'claude_web' THEN '' ELSE '{_SYSTEM}' || chr(10) || chr(10) END || prompt, '^\\s+|\\s+$', '', 'g')) AS prompt_sha,
-          sha256(response || chr(10) || chr(10) || 'And so on.') AS response_sha
+          sha256(coalesce(response || chr(10) || chr(10) || 'And so on.', '')) AS response_sha
         FROM (SELECT *, {_SURFACES_SQL} FROM exchanges)""",
 )
 def traffic_texts(spark, sf_dir):
