@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from vigilake.llm import audit, collocations, exact_repeats, suffixes, terms
+from vigilake.llm.common import unpacked
 
 SF = "/root/testdata/sf0.001"
 
@@ -169,7 +170,7 @@ def test_matrix_has_one_number_for_a_word_in_all_shards(spark):
     assert len(set(words.values())) == len(words)
     found = []
     for r in matrix.collect():
-        indptr, indices, counts = (np.frombuffer(r[c], t) for c, t in (("indptr", "<i4"), ("indices", "<i8"), ("counts", "<i4")))
+        indptr, indices, counts = (unpacked(bytes(r[c]), t) for c, t in (("indptr", "<i4"), ("indices", "<i8"), ("counts", "<i4")))
         for label, a, b in zip(r.labels, indptr[:-1], indptr[1:], strict=True):
             found.append((str(label.doc_id), sorted((words[i], int(n)) for i, n in zip(indices[a:b].tolist(), counts[a:b], strict=True))))
     want = []

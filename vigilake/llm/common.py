@@ -1,7 +1,10 @@
 """What several operators share: written intermediates, graph components, hashing of ids."""
 
+import ctypes
 import uuid
 
+import numpy as np
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -85,3 +88,35 @@ def numbered(df: DataFrame, out: str, name: str) -> DataFrame:
 def int_bytes(values) -> bytes:
     """A numpy array as little-endian 32-bit integers, the form in which shards hold long arrays."""
     return values.astype("<i4").tobytes()
+
+
+def packed(values, kind: str) -> bytes:
+    """A numpy array as a Zstandard frame of little-endian numbers of ``kind``, to be written and shuffled."""
+    return zstandard.ZstdCompressor(level=1).compress(values.astype(kind).tobytes())
+
+
+def unpacked(cell, kind: str):
+    """The array of a cell that packed() made."""
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(cell), kind)
+
+
+def small(batches, column: str, size: int = 4 << 20):
+    """Frames cut into parts of about ``size`` bytes of ``column``; memory that is free goes back between them.
+
+    A Python worker serves one stage after the other and otherwise keeps the most it ever held.
+    """
+    for batch in batches:
+        ends, at = np.cumsum([len(x) for x in batch[column]]), 0
+        while at < len(batch):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+            yield batch.iloc[at:to]
+            at = to
+            trim()
+
+
+def trim() -> None:
+    """Hand free memory back to the system, where the C library can."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilake.llm.common import int_bytes, staged
+from vigilake.llm.common import packed, staged, unpacked
 
 # Text bytes of a shard; a longer document is a shard of its own.
 SHARD_BYTES = 8 << 20
@@ -89,8 +89,8 @@ def term_matrix(
     """(matrix, dictionary) of the words of ``docs``.
 
     matrix: shard, labels (one struct per row: all columns of ``docs`` but ``text``), indptr,
-    indices (global term ids), counts, measures; the arrays are little-endian integers of 32, 64,
-    32 and 64 bits. dictionary: word (binary), term_id. ``measure`` may give each text
+    indices (global term ids), counts, measures; the arrays are packed integers of 32, 64,
+    32 and 64 bits (``common.unpacked``). dictionary: word (binary), term_id. ``measure`` may give each text
     more numbers. A NULL or empty text is a row without entries; an empty table gives
     no shard. Repeated rows stay rows.
     """
@@ -106,13 +106,13 @@ def term_matrix(
             sizes = np.cumsum([0] + [len(c) for c, _ in rows])
             none = [np.empty(0, np.int32)]
             joint = pa.concat_arrays(labels)
-            blocks = [{"bucket": k, "places": int_bytes(places), "words": words} for k, places, words in by_bucket(list(vocabulary), buckets)]
+            blocks = [{"bucket": k, "places": packed(places, "<i4"), "words": words} for k, places, words in by_bucket(list(vocabulary), buckets)]
             columns = {
                 "labels": pa.ListArray.from_arrays(pa.array([0, len(joint)], pa.int32()), joint),
-                "indptr": pa.array([int_bytes(sizes)], pa.binary()),
-                "indices": pa.array([int_bytes(np.concatenate(none + [c for c, _ in rows]))], pa.binary()),
-                "counts": pa.array([int_bytes(np.concatenate(none + [n for _, n in rows]))], pa.binary()),
-                "measures": pa.array([np.array(measures, "<i8").tobytes()], pa.binary()),
+                "indptr": pa.array([packed(sizes, "<i4")], pa.binary()),
+                "indices": pa.array([packed(np.concatenate(none + [c for c, _ in rows]), "<i4")], pa.binary()),
+                "counts": pa.array([packed(np.concatenate(none + [n for _, n in rows]), "<i4")], pa.binary()),
+                "measures": pa.array([packed(np.array(measures), "<i8")], pa.binary()),
                 "blocks": pa.array([blocks], pa.list_(_BLOCK)),
             }
             return pa.RecordBatch.from_pydict(columns)
@@ -145,7 +145,7 @@ def term_matrix(
         rows, encoded = numbers(rows)
         ids = encoded.indices.to_numpy().astype(np.int64) * buckets + rows.column("bucket")[0].as_py()
         sizes = np.cumsum([len(x) for x in rows.column("words")])[:-1]
-        return pa.table({"shard": rows.column("shard"), "places": rows.column("places"), "ids": pa.array([x.astype("<i8").tobytes() for x in np.split(ids, sizes)], pa.binary())})
+        return pa.table({"shard": rows.column("shard"), "places": rows.column("places"), "ids": pa.array([packed(x, "<i8") for x in np.split(ids, sizes)], pa.binary())})
 
     def listed(rows: pa.Table) -> pa.Table:
         rows, encoded = numbers(rows)
@@ -161,13 +161,13 @@ def term_matrix(
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                local = np.frombuffer(row.column("indices")[0].as_buffer(), "<i4")
+                local = unpacked(row.column("indices")[0].as_buffer(), "<i4")
                 known = row.column("given")[0]
                 terms = np.empty(int(local.max(initial=-1)) + 1, "<i8")
                 for block in known.values if known.is_valid else ():
-                    terms[np.frombuffer(block["places"].as_buffer(), "<i4")] = np.frombuffer(block["ids"].as_buffer(), "<i8")
+                    terms[unpacked(block["places"].as_buffer(), "<i4")] = unpacked(block["ids"].as_buffer(), "<i8")
                 columns = {c: row.column(c) for c in ("shard", "labels", "indptr", "indices", "counts", "measures")}
-                columns["indices"] = pa.array([terms[local].tobytes()], pa.binary())
+                columns["indices"] = pa.array([packed(terms[local], "<i8")], pa.binary())
                 yield pa.RecordBatch.from_pydict(columns)
 
     encoded = shards.drop("blocks").join(given, "shard", "left")
@@ -181,11 +181,11 @@ def row_stats(matrix: DataFrame, total: str = "__words", distinct: str = "__dist
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                indptr = np.frombuffer(batch.column("indptr")[i].as_buffer(), "<i4").astype(np.int64)
-                counts = np.frombuffer(batch.column("counts")[i].as_buffer(), "<i4")
+                indptr = unpacked(batch.column("indptr")[i].as_buffer(), "<i4").astype(np.int64)
+                counts = unpacked(batch.column("counts")[i].as_buffer(), "<i4")
                 before = np.append(0, np.cumsum(counts, dtype=np.int64))
                 columns = {"label": batch.column("labels")[i].values, total: before[indptr[1:]] - before[indptr[:-1]], distinct: np.diff(indptr)}
-                more = np.frombuffer(batch.column("measures")[i].as_buffer(), "<i8").reshape(len(indptr) - 1, -1)
+                more = unpacked(batch.column("measures")[i].as_buffer(), "<i8").reshape(len(indptr) - 1, -1)
                 yield pa.RecordBatch.from_pydict(columns | {c: more[:, k] for k, c in enumerate(measures)})
 
     names = [total, distinct, *measures]
