@@ -301,8 +301,8 @@ def collocations(docs: DataFrame, text: str = "text", part: str = "lang", suppor
     spelt = spelt.groupBy("words").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("word").cast("string").alias("word")))).alias("spelt"), F.first("part").alias("part"))
     named = staged(kept.join(spelt, "words").select("part", F.concat_ws(" ", "spelt.word").alias("phrase"), "a", "cut.l", "cut.r", "cut.score"), "named")
 
-    # Only rows whose score is among the first ``top`` of their part by thousands are ranked.
-    step = F.floor(F.col("score") / 1000)
+    # Only rows whose score is among the first ``top`` of their part, in steps of a few percent, are ranked.
+    step = F.floor(16 * F.log2(F.col("score") + 1))
     steps = named.groupBy("part", step.alias("step")).agg(F.count("*").alias("rows"))
     above = F.sum("rows").over(Window.partitionBy("part").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1))
     least = steps.withColumn("above", F.coalesce(above, F.lit(0))).where(F.col("above") < top).groupBy("part").agg(F.min("step").alias("__least"))
