@@ -26,6 +26,15 @@ def write_receipt_table(built: DataFrame, path: str, mode: str = "append") -> No
     built.select("receipt", "raw", "day", held().alias("held")).write.mode(mode).partitionBy(*RECEIPT_PARTITIONS).parquet(path)
 
 
+def write_packed(small: DataFrame, path: str, mode: str = "append") -> None:
+    """Many small files (``path`` below the folder, ``content``) packed into a few: a row each, in Parquet.
+
+    A file of its own costs a store several calls when it is written, listed and read, however small it is.
+    The sources of whole files read a packed folder with ``packed=True``.
+    """
+    small.select("path", F.col("content").cast("binary").alias("content")).write.mode(mode).parquet(path)
+
+
 def write_nodes(nodes: DataFrame, path: str, mode: str = "append", by: tuple[str, ...] = ()) -> None:
     """Trace nodes as JSON lines with their nulls; inputs and outputs as JSON, not as text.
 

@@ -4,16 +4,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilake import schemas
+from vigilake.functions.spread import spread
+
+
+def _name_pattern(glob: str) -> str:
+    """Regex of the file names that a glob of ``*``, ``?``, ``[...]`` and ``{a,b}`` takes."""
+    special = {"*": ".*", "?": ".", "{": "(?:", "}": ")", "[": "[", "]": "]"}
+    depth, out = 0, ""
+    for c in glob:
+        depth += {"{": 1, "}": -1}.get(c, 0)
+        out += "|" if c == "," and depth else special.get(c) or (c if c.isalnum() or c == "-" else "\\" + c)
+    return f"^(?:{out})$"
+
+
+def _unpacked(spark: SparkSession, path: str | list[str], glob: str, recursive: bool) -> DataFrame:
+    """(file, content) of packed files, by the rules for loose ones: no empty and no hidden files, and where
+    folders below are not looked into, only those named ``key=value``."""
+    paths = [path] if isinstance(path, str) else path
+    stored = spark.read.schema("path string, content binary").parquet(*paths)
+    folder = F.regexp_replace("_metadata.file_path", "/[^/]*$", "/")
+    rows = spread(stored.select(folder.alias("folder"), "path", "content"))
+    name = F.element_at(F.split("path", "/"), -1)
+    shown = ~F.col("path").rlike("(^|/)[._]") & (F.length("content") > 0)
+    near = F.lit(True) if recursive else F.col("path").rlike("^([^/]*=[^/]*/)*[^/]*$")
+    found = rows.where(shown & near & name.rlike(_name_pattern(glob)))
+    return found.select(F.concat("folder", "path").alias("file"), "content")
 
 
-def _whole(spark: SparkSession, path: str | list[str], glob: str, recursive: bool) -> DataFrame:
-    return spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=recursive)
+def _whole(spark: SparkSession, path: str | list[str], glob: str, recursive: bool, packed: bool) -> DataFrame:
+    """(file, value) of whole text files."""
+    if packed:
+        return _unpacked(spark, path, glob, recursive).select("file", F.col("content").cast("string").alias("value"))
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=recursive)
+    return files.select(F.col("_metadata.file_path").alias("file"), "value")
 
 
-def receipt_files(spark: SparkSession, path: str | list[str], glob: str = "*.json") -> DataFrame:
+def receipt_files(spark: SparkSession, path: str | list[str], glob: str = "*.json", packed: bool = False) -> DataFrame:
     """Receipt tree: (path, raw), one row per file at any depth whose name fits ``glob``, readable or not."""
-    files = _whole(spark, path, glob, True)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
+    files = _whole(spark, path, glob, True, packed)
+    return files.select(F.col("file").alias("path"), F.col("value").alias("raw"))
 
 
 def receipt_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -35,24 +64,24 @@ def with_receipt(raw_receipts: DataFrame, raw: str = "raw") -> DataFrame:
     return typed.withColumn("day", F.to_date(F.substring("receipt.timestamp", 1, 10)))
 
 
-def run_dumps(spark: SparkSession, path: str | list[str], glob: str = "*.json") -> DataFrame:
+def run_dumps(spark: SparkSession, path: str | list[str], glob: str = "*.json", packed: bool = False) -> DataFrame:
     """External run dumps: each file is one JSON array of runs; (file, pos, run fields).
 
     A file that is not such an array stops the job with its name: no run is lost silently.
     """
     # A dump is one JSON value, which no JSON reader can split; its records spread from the explode on.
-    files = _whole(spark, path, glob, False)
+    files = _whole(spark, path, glob, False, packed)
     runs = F.from_json("value", f"array<{schemas.RUN}>")
-    failed = F.raise_error(F.concat(F.lit("not a run dump: "), F.col("_metadata.file_path")))
+    failed = F.raise_error(F.concat(F.lit("not a run dump: "), F.col("file")))
     runs = F.coalesce(runs, failed.cast(f"array<{schemas.RUN}>"))
-    exploded = files.select(F.col("_metadata.file_path").alias("file"), F.posexplode(runs).alias("pos", "run"))
+    exploded = files.select("file", F.posexplode(runs).alias("pos", "run"))
     return exploded.select("file", F.col("pos").cast("bigint").alias("pos"), "run.*")
 
 
-def registry_tasks(spark: SparkSession, root: str, glob: str = "*.json") -> DataFrame:
+def registry_tasks(spark: SparkSession, root: str, glob: str = "*.json", packed: bool = False) -> DataFrame:
     """Task files under ``root/<project>/``: (project, file, raw)."""
-    files = _whole(spark, root, glob, True)
-    parts = F.split("_metadata.file_path", "/")
+    files = _whole(spark, root, glob, True, packed)
+    parts = F.split("file", "/")
     return files.select(
         F.try_element_at(parts, F.lit(-2)).alias("project"),
         F.try_element_at(parts, F.lit(-1)).alias("file"),
@@ -60,20 +89,24 @@ def registry_tasks(spark: SparkSession, root: str, glob: str = "*.json") -> Data
     )
 
 
-def text_files(spark: SparkSession, path: str | list[str], phase: str = "prompt") -> DataFrame:
+def text_files(spark: SparkSession, path: str | list[str], phase: str = "prompt", packed: bool = False) -> DataFrame:
     """Whole text files as exchanges of one phase, for a dry run."""
-    files = _whole(spark, path, "*", False)
-    return files.select(F.col("_metadata.file_path").alias("exchange_id"), F.col("value").alias(phase))
+    files = _whole(spark, path, "*", False, packed)
+    return files.select(F.col("file").alias("exchange_id"), F.col("value").alias(phase))
 
 
-def policy_files(spark: SparkSession, path: str, glob: str = "*.{yaml,yml}") -> DataFrame:
+def policy_files(spark: SparkSession, path: str, glob: str = "*.{yaml,yml}", packed: bool = False) -> DataFrame:
     """(directory, file, content) of the policy files of ``path`` and of every directory below it.
 
     Each directory is a set of its own, as if it were loaded alone: its files in the order of their names,
     without those of directories below. Spark reads no files of zero bytes, nor names that start with a
     dot or an underscore: such a file is no row here, where load_policies() would refuse its directory.
     """
-    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    directory = F.regexp_replace("path", "/[^/]*$", "")
+    if packed:
+        found = _unpacked(spark, path, glob, True)
+    else:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+        found = found.select(F.col("path").alias("file"), "content")
+    name = F.element_at(F.split("file", "/"), -1)
+    directory = F.regexp_replace("file", "/[^/]*$", "")
     return found.select(directory.alias("directory"), name.alias("file"), "content")
