@@ -9,13 +9,18 @@ from vigilake.operators.reports import held
 RECEIPT_PARTITIONS = ("day", "held")
 
 
-def write_receipts(built: DataFrame, path: str, mode: str = "append") -> None:
-    """Canonical receipt lines, one directory per day.
+def by_day(rows: DataFrame) -> DataFrame:
+    """Rows brought together by day before they are written.
 
-    Rows are not shuffled by day, which would put a busy day into one task; each
-    task writes the days it holds.
+    Else every task writes a file for each of its days, and files grow with days times tasks. A busy day
+    is split by its size into several tasks, and days of few rows share one.
     """
-    built.select("day", F.col("raw").alias("value")).write.mode(mode).partitionBy("day").text(path)
+    return rows.hint("rebalance", F.col("day"))
+
+
+def write_receipts(built: DataFrame, path: str, mode: str = "append") -> None:
+    """Canonical receipt lines, one directory per day."""
+    by_day(built.select("day", F.col("raw").alias("value"))).write.mode(mode).partitionBy("day").text(path)
 
 
 def write_receipt_table(built: DataFrame, path: str, mode: str = "append") -> None:
@@ -23,7 +28,7 @@ def write_receipt_table(built: DataFrame, path: str, mode: str = "append") -> No
 
     Both partition columns answer the pruning questions without a look into the receipts.
     """
-    built.select("receipt", "raw", "day", held().alias("held")).write.mode(mode).partitionBy(*RECEIPT_PARTITIONS).parquet(path)
+    by_day(built.select("receipt", "raw", "day", held().alias("held"))).write.mode(mode).partitionBy(*RECEIPT_PARTITIONS).parquet(path)
 
 
 def write_packed(small: DataFrame, path: str, mode: str = "append") -> None:

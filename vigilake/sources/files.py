@@ -54,8 +54,9 @@ def receipt_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def receipt_table(spark: SparkSession, path: str) -> DataFrame:
     """Stored receipts (receipt, raw, day, held; ``status`` where they were verified on their way in), for reports."""
     stored = spark.read.parquet(path)
-    extra = "".join(f", {c} string" for c in ("path", "status") if c in stored.columns)
-    return spark.read.schema(f"receipt {schemas.RECEIPT}, raw string{extra}, day date, held boolean").parquet(path)
+    extra = [c for c in ("path", "status") if c in stored.columns]
+    # The table is listed once; casts of day and held keep its partitions prunable.
+    return stored.select(F.col("receipt").cast(schemas.RECEIPT).alias("receipt"), "raw", *extra, F.col("day").cast("date").alias("day"), F.col("held").cast("boolean").alias("held"))
 
 
 def with_receipt(raw_receipts: DataFrame, raw: str = "raw") -> DataFrame:
