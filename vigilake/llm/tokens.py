@@ -13,6 +13,7 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
+from functools import cache
 from itertools import pairwise
 
 import numpy as np
@@ -25,12 +26,12 @@ from vigilake.llm.common import table
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
-# Units whose tables are kept per task; beyond that the store starts afresh.
+# Units whose tables or totals are kept per worker; beyond that the store starts afresh.
 KEPT_UNITS = 600_000
 KEPT_PAIRS = 500_000
 # No piece has a space after another character, or a line feed: nothing merges across these cuts.
 UNIT = re.compile(r" *+[^ \n]+| +|\n")
-# Prefixes of words whose state is kept per task, and how long they may be.
+# Prefixes of words whose state is kept per worker, and how long they may be.
 KEPT_STATES = 1_000_000
 MEMO_LENGTH = 24
 
@@ -56,7 +57,7 @@ class PieceCounter:
         assert not any(j[1] == SPACE and j[0] != SPACE for j in joined)
         self.known = {p for p in self.score if len(p) == 1}
         assert not any("\n" in p for p in self.score)
-        self.states: dict[str, tuple[int, str]] = {}
+        self.states: dict[str, bytes] = {}
         self.joined = joined
         self.rank = {p: -s for p, s in self.score.items()}
         # The last merge of every piece that the encoder can make; the others never occur.
@@ -72,6 +73,7 @@ class PieceCounter:
             if len(piece) > 2:
                 self.lengths.setdefault(piece[-3:], {2} if piece[-2:] in self.whole else set()).add(len(piece))
         self.lengths = {end: sorted(found, reverse=True) for end, found in self.lengths.items()}
+        self.totals = Totals(self.unit_total)
         self.forget()
 
     def cost(self, char: str) -> int:
@@ -134,36 +136,53 @@ class PieceCounter:
         return [unit[a:b] for a, b in pairwise(cuts)]
 
     def table(self, unit: str) -> list[int]:
-        """Tokens of every prefix of ``unit``, from its first character on; prefixes seen before are looked up."""
-        if len(self.states) > KEPT_STATES:
-            self.states.clear()
-        states, counts, last = self.states, [0], [""]
-        for p in range(1, len(unit) + 1):
-            state = states.get(unit[:p]) if p <= MEMO_LENGTH else None
-            if state is None:
-                state = self.extend(unit[max(0, p - self.longest) : p], counts, last)
-                if p <= MEMO_LENGTH:
-                    states[unit[:p]] = state
-            counts.append(state[0])
-            last.append(state[1])
+        """Tokens of every prefix of ``unit``, from its first character on, filled from the longest prefix seen before.
+
+        The state of a prefix is its whole table, counts first and then the lengths of last tokens, a byte each.
+        """
+        states, size = self.states, len(unit)
+        if len(states) > KEPT_STATES:
+            states.clear()
+        known, state = min(size, MEMO_LENGTH), None
+        while known and (state := states.get(unit[:known])) is None:
+            known -= 1
+        counts, last = ([0, *state[:known]], [0, *state[known:]]) if known else ([0], [0])
+        for p in range(known + 1, size + 1):
+            self.extend(unit, counts, last)
+            if p <= MEMO_LENGTH:
+                states[unit[:p]] = bytes(counts[1:] + last[1:])
         return counts[1:]
 
-    def extend(self, tail: str, counts: list[int], last: list[str]) -> tuple[int, str]:
-        """Count and last token of the next prefix, whose end is ``tail``."""
-        p, size = len(counts), len(tail)
-        for n in self.lengths.get(tail[-3:]) or self.lengths.get(tail[-2:], ()):
-            if n > size or (token := tail[-n:]) not in self.whole:
+    def extend(self, unit: str, counts: list[int], last: list[int]) -> None:
+        """Append the count of the next prefix of ``unit`` and the length of its last token."""
+        p = len(counts)
+        for n in self.lengths.get(unit[max(0, p - 3) : p]) or self.lengths.get(unit[max(0, p - 2) : p], ()):
+            if n > p or (token := unit[p - n : p]) not in self.whole:
                 continue
-            pair = (last[p - n], token)
+            pair = (unit[p - n - last[p - n] : p - n], token)
             known = self.pairs.get(pair)
             if known is None:
                 known = not pair[0] or self.follows(*pair)
                 if len(self.pairs) < KEPT_PAIRS:
                     self.pairs[pair] = known
             if known:
-                return counts[p - n] + 1, token
+                counts.append(counts[p - n] + 1)
+                last.append(n)
+                return
         # No longer token ends here, so the last character stands alone: the encoder always has an answer.
-        return counts[p - 1] + self.cost(tail[-1]), tail[-1]
+        counts.append(counts[p - 1] + self.cost(unit[p - 1]))
+        last.append(1)
+
+    def total(self, text: str) -> int:
+        """Tokens of the whole text: the last prefix of each of its units, summed."""
+        if not text:
+            return 0
+        if len(self.totals) > KEPT_UNITS:
+            self.totals.clear()
+        return sum(map(self.totals.__getitem__, UNIT.findall(" " + text.replace(SPACE, " "))))
+
+    def unit_total(self, unit: str) -> int:
+        return sum(self.table(part)[-1] for part in self.parts(unit.replace(" ", SPACE)))
 
     def prefix_counts(self, text: str) -> np.ndarray:
         """c[p] for p = 0 ... len(text): tokens of the first p characters, exactly."""
@@ -203,6 +222,24 @@ class PieceCounter:
         self.begin, self.length, self.store = array("q"), array("q"), array("i")
 
 
+class Totals(dict):
+    """Tokens of units, counted when they are first asked for."""
+
+    def __init__(self, count):
+        super().__init__()
+        self.count = count
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = found = self.count(unit)
+        return found
+
+
+@cache
+def shared_counter(path: str) -> PieceCounter:
+    """The counter of this process: a worker takes task after task, and what one has counted helps the next."""
+    return PieceCounter(path)
+
+
 def with_prefix_counts(docs: DataFrame, text: str = "text", out: str = "prefix_tokens", path: str | None = None) -> DataFrame:
     """Add ``out``: array<int>, its element p + 1 the tokens of the first p code points."""
     path = path or model_path()
@@ -232,16 +269,18 @@ def longest_within(counts: np.ndarray, budget: int) -> int:
 def with_budget(docs: DataFrame, budget: int = LIMIT, text: str = "text", path: str | None = None) -> DataFrame:
     """Add n_tokens and ``fitting_chars``, the longest prefix within ``budget``, from each text's table.
 
-    The table stays inside the task: it is four bytes a character and most callers need two numbers of it.
+    A text within the budget is its own longest prefix, so its units' totals do; only of longer ones is the
+    table of all prefixes laid out. It stays inside the task: four bytes a character.
     """
     path = path or model_path()
 
     @F.pandas_udf("n_tokens bigint, fitting_chars bigint")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        counter = PieceCounter(path)
+        counter = shared_counter(path)
         for texts in batches:
-            made = [counter.prefix_counts(t or "") for t in texts]
-            yield pd.DataFrame({"n_tokens": [int(c[-1]) for c in made], "fitting_chars": [longest_within(c, budget) for c in made]}, dtype="int64")
+            totals = [counter.total(t or "") for t in texts]
+            fitting = [len(t or "") if n <= budget else longest_within(counter.prefix_counts(t or ""), budget) for t, n in zip(texts, totals, strict=True)]
+            yield pd.DataFrame({"n_tokens": totals, "fitting_chars": fitting}, dtype="int64")
 
     found = docs.withColumn("__tokens", counted(F.col(text)))
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_tokens", "fitting_chars")]
