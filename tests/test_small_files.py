@@ -62,3 +62,36 @@ def test_chunks_are_written_where_their_documents_are(spark, tmp_path, monkeypat
     monkeypatch.setattr(roundtrips, "fresh", lambda spark, name: str(tmp_path / name))
     roundtrips.chunk_stream(spark, "/root/testdata/sf0.001")
     assert written(tmp_path / "in-chunks") >= spark.sparkContext.defaultParallelism
+
+
+def test_packed_lines_equal_loose_ones(spark, tmp_path):
+    import random
+
+    from vigilake.sources import lines
+
+    rng, rows = random.Random(4), []
+    for log in ("a", "of=x/b", "of=x/c", ".hidden"):
+        for place in sorted(rng.sample(range(100_000), 60)):
+            rows += [(f"{log}.log", place, part, value) for part, value in enumerate(rng.choices(["", "one", "é {}", '{"k": "v"}', "x\ry", " "], k=rng.randint(1, 3)))]
+    for name in {r[0] for r in rows}:
+        (tmp_path / "loose/tree" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "loose/tree" / name).write_text("".join(f"{r[3]}\n" for r in rows if r[0] == name), newline="")
+    rng.shuffle(rows)
+    sinks.write_packed_lines(spark.createDataFrame(rows, "path string, place bigint, part int, value string"), str(tmp_path / "packed/tree"), ("place", "part"))
+
+    def told(read):
+        return sorted((r.file.split("/tree/")[1], r.line_no, r.line) for r in read.collect())
+
+    loose = told(lines.read_lines(spark, str(tmp_path / "loose/tree"), recursive=True))
+    assert len(loose) > 300 and told(lines.read_lines(spark, str(tmp_path / "packed/tree"), recursive=True, packed=True)) == loose
+    near = told(lines.read_lines(spark, str(tmp_path / "packed/tree"), "a*", packed=True))
+    assert near == [r for r in loose if r[0] == "a.log"]
+
+
+def test_hook_logs_are_packed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(roundtrips, "fresh", lambda spark, name: str(tmp_path / name))
+    events = [(i, i * 7 % 400, "click", '{"k": 1}') for i in range(400)]
+    rows = spark.createDataFrame(events, "event_id bigint, user_id bigint, event_type string, props string").withColumn("ts", F.timestamp_seconds("event_id"))
+    rows.write.parquet(str(tmp_path / "t" / "events.parquet"))
+    roundtrips.hook_logs(spark, str(tmp_path / "t"))
+    assert 0 < written(tmp_path / "hooks") <= 2 * spark.sparkContext.defaultParallelism

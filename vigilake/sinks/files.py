@@ -40,6 +40,23 @@ def write_packed(small: DataFrame, path: str, mode: str = "append") -> None:
     small.select("path", F.col("content").cast("binary").alias("content")).write.mode(mode).parquet(path)
 
 
+# Lines of a packed log that share a row lie in one range of so many places.
+SEGMENT = 16_384
+
+
+def write_packed_lines(lines: DataFrame, path: str, order: tuple[str, ...], mode: str = "append") -> None:
+    """Many logs (``path`` below the folder, ``value``) packed: a row for each segment of a log, in Parquet.
+
+    Lines follow each other by ``order``; its first column is a place, and each range of SEGMENT places is a
+    segment, so a log of any length is many rows. read_lines() takes such a folder with ``packed=True``.
+    """
+    at = F.floor(F.col(order[0]) / SEGMENT).alias("at")
+    line = F.struct(*order, F.coalesce("value", F.lit("")).alias("value"))
+    segments = lines.groupBy("path", at).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    content = F.concat(F.array_join(F.col("lines.value"), "\n"), F.lit("\n")).cast("binary")
+    segments.select("path", content.alias("content"), "at").write.mode(mode).parquet(path)
+
+
 def write_nodes(nodes: DataFrame, path: str, mode: str = "append", by: tuple[str, ...] = ()) -> None:
     """Trace nodes as JSON lines with their nulls; inputs and outputs as JSON, not as text.
 

@@ -17,24 +17,25 @@ def _name_pattern(glob: str) -> str:
     return f"^(?:{out})$"
 
 
-def _unpacked(spark: SparkSession, path: str | list[str], glob: str, recursive: bool) -> DataFrame:
-    """(file, content) of packed files, by the rules for loose ones: no empty and no hidden files, and where
+def unpacked(spark: SparkSession, path: str | list[str], glob: str, recursive: bool, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(file, content, columns of ``extra``) of packed files, by the rules for loose ones: no empty and no hidden files, and where
     folders below are not looked into, only those named ``key=value``."""
     paths = [path] if isinstance(path, str) else path
-    stored = spark.read.schema("path string, content binary").parquet(*paths)
+    stored = spark.read.schema(", ".join(("path string, content binary", *extra))).parquet(*paths)
     folder = F.regexp_replace("_metadata.file_path", "/[^/]*$", "/")
-    rows = spread(stored.select(folder.alias("folder"), "path", "content"))
+    more = stored.columns[2:]
+    rows = spread(stored.select(folder.alias("folder"), "path", "content", *more))
     name = F.element_at(F.split("path", "/"), -1)
     shown = ~F.col("path").rlike("(^|/)[._]") & (F.length("content") > 0)
     near = F.lit(True) if recursive else F.col("path").rlike("^([^/]*=[^/]*/)*[^/]*$")
     found = rows.where(shown & near & name.rlike(_name_pattern(glob)))
-    return found.select(F.concat("folder", "path").alias("file"), "content")
+    return found.select(F.concat("folder", "path").alias("file"), "content", *more)
 
 
 def _whole(spark: SparkSession, path: str | list[str], glob: str, recursive: bool, packed: bool) -> DataFrame:
     """(file, value) of whole text files."""
     if packed:
-        return _unpacked(spark, path, glob, recursive).select("file", F.col("content").cast("string").alias("value"))
+        return unpacked(spark, path, glob, recursive).select("file", F.col("content").cast("string").alias("value"))
     files = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=recursive)
     return files.select(F.col("_metadata.file_path").alias("file"), "value")
 
@@ -104,7 +105,7 @@ def policy_files(spark: SparkSession, path: str, glob: str = "*.{yaml,yml}", pac
     dot or an underscore: such a file is no row here, where load_policies() would refuse its directory.
     """
     if packed:
-        found = _unpacked(spark, path, glob, True)
+        found = unpacked(spark, path, glob, True)
     else:
         found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
         found = found.select(F.col("path").alias("file"), "content")

@@ -7,15 +7,18 @@ from vigilake.functions import variant as V
 from vigilake.functions.spread import prefix_sum
 from vigilake.functions.text import strip
 from vigilake.operators.trace import hook_fields
+from vigilake.sources.files import unpacked
 
 
-def read_lines(spark: SparkSession, path: str | list[str], glob: str | None = None, recursive: bool = False) -> DataFrame:
-    """(file, line_no, line), line numbers from 0 in file order.
+def read_lines(spark: SparkSession, path: str | list[str], glob: str | None = None, recursive: bool = False, packed: bool = False) -> DataFrame:
+    """(file, line_no, line), line numbers from 0 in file order; ``packed`` reads what write_packed_lines() wrote.
 
     Files are split as usual. Inside a split rows come in file order, so a split
     is numbered locally and shifted by the line counts of the splits before it:
     no file has to fit one task.
     """
+    if packed:
+        return _packed_lines(spark, path, glob or "*", recursive)
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -29,6 +32,18 @@ def read_lines(spark: SparkSession, path: str | list[str], glob: str | None = No
     return numbered.select("file", (F.col("__n") - 1).alias("line_no"), "line")
 
 
+def _packed_lines(spark: SparkSession, path: str | list[str], glob: str, recursive: bool) -> DataFrame:
+    """Lines of packed segments. Only segments are numbered, each by its count of lines; a file is as many rows as segments."""
+    stored = unpacked(spark, path, glob, recursive, ("at bigint",))
+    cut = F.split(F.col("content").cast("string"), "\r\n|\r|\n")
+    # What follows the last line end is no line unless there is something.
+    held = F.when(F.element_at(cut, -1) == "", F.slice(cut, 1, F.size(cut) - 1)).otherwise(cut)
+    segments = stored.select("file", "at", held.alias("held"))
+    placed = prefix_sum(segments, ["file"], F.col("at"), ["at"], "__end", F.size("held"))
+    lines = placed.select("file", (F.col("__end") - F.size("held")).alias("__begin"), F.posexplode("held").alias("__pos", "line"))
+    return lines.select("file", (F.col("__begin") + F.col("__pos")).alias("line_no"), "line")
+
+
 def json_objects(lines: DataFrame) -> DataFrame:
     """Lines that hold one JSON object, as VARIANT ``doc``; blank, broken and other lines are skipped."""
     docs = lines.select("file", "line_no", V.parse_strict(strip(F.col("line"))).alias("doc"))
