@@ -76,7 +76,7 @@ def masked_streams(chunks: DataFrame, idle_ms: int = 60_000) -> DataFrame:
     in the order of (seq, part), a stream's chunks are its whole text, masked.
     """
     given = chunks.select(F.col("stream_id").cast("string").alias("stream_id"), "seq", F.coalesce("data", F.lit("")).alias("data"), "last")
-    cut = given.groupBy("stream_id").transformWithStateInPandas(state.LabelledDates(idle_ms), MASKED, "Append", "ProcessingTime")
+    cut = given.groupBy("stream_id").transformWithState(state.LabelledDates(idle_ms), MASKED, "Append", "ProcessingTime")
     masked = sanitize.mask_labelled(F.concat("before", "data"))
     return cut.select("stream_id", "seq", "part", F.substring(masked, F.length("before") + 1, F.length(masked)).alias("data"))
 

@@ -9,6 +9,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from vigilake.operators.trace import LOOKBACK, REPEATS
@@ -163,9 +164,10 @@ class LabelledDates(StatefulProcessor):
 
     held: the end of the text so far that may be the beginning of one, what kind of character
     is before it, and the timer. A held end is as long as the longest beginning that fits.
+    Streams are many and their batches short, so it takes and gives rows: a frame for each would cost more than the work.
     """
 
-    columns = ["stream_id", "seq", "part", "before", "data"]
+    row = Row("stream_id", "seq", "part", "before", "data")
 
     def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
@@ -175,33 +177,33 @@ class LabelledDates(StatefulProcessor):
         self.idle = Idle(handle, self.idle_ms)
         self.open = open_label_pattern()
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before, text, seq, due = self.held.get() if self.held.exists() else ("", "", 0, 0)
-        out, ended = [], False
-        for seq, data, last in _sorted(rows, "seq", ("data", "last")):
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        known = self.held.get()
+        before, text, seq, due = known or ("", "", 0, 0)
+        ended = False
+        for seq, data, last in sorted(((row["seq"], row["data"], row["last"]) for row in rows), key=lambda row: row[0]):
             ended = ended or bool(last)
             text += data or ""
             # The character before decides whether a word starts here.
             found = None if last else self.open.search(before + text, len(before))
             cut = found.start() - len(before) if found else len(text)
             released, text = text[:cut], text[cut:]
-            out.append((key[0], seq, 0, before, released))
+            yield self.row(key[0], seq, 0, before, released)
             before = _neighbour(released) if released else before
         if ended:
             if text:
-                out.append((key[0], seq, 1, before, text))
-            if due:
+                yield self.row(key[0], seq, 1, before, text)
+            if known:
                 self.idle.handle.deleteTimer(due)
-            self.held.clear()
+                self.held.clear()
         else:
             self.held.update((before, text, seq, self.idle.move(timerValues, due)))
-        yield from _frames(out, self.columns)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         before, text, seq, _ = self.held.get()
         self.held.clear()
         if text:
-            yield pd.DataFrame([(key[0], seq, 1, before, text)], columns=self.columns)
+            yield self.row(key[0], seq, 1, before, text)
 
     def close(self) -> None:
         pass
