@@ -26,6 +26,8 @@ def test_totals_equal_the_library_and_the_last_prefix():
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
         counts = counter.prefix_counts(text).tolist()
         assert counter.total(text) == counts[-1]
+        for budget in (0, 1, 2, 3, 5, 9, 40):
+            assert counter.fitting(text, budget) == tokens.longest_within(counter.prefix_counts(text), budget)
         if "\ud800" not in text:
             assert counts == [len(model.encode(text[:p])) for p in range(len(text) + 1)]
 

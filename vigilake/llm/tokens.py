@@ -12,9 +12,11 @@ each distinct unit is kept, so repeated words cost one look-up.
 import heapq
 import re
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
-from itertools import pairwise
+from itertools import accumulate, pairwise
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -132,6 +134,8 @@ class PieceCounter:
 
     def parts(self, unit: str) -> list[str]:
         """Cut a unit between characters that follow each other in no piece."""
+        if self.joined.issuperset(map(add, unit, unit[1:])):
+            return [unit]
         cuts = [0, *(i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in self.joined), len(unit)]
         return [unit[a:b] for a, b in pairwise(cuts)]
 
@@ -147,24 +151,28 @@ class PieceCounter:
         while known and (state := states.get(unit[:known])) is None:
             known -= 1
         counts, last = ([0, *state[:known]], [0, *state[known:]]) if known else ([0], [0])
+        extend = self.extend
         for p in range(known + 1, size + 1):
-            self.extend(unit, counts, last)
+            extend(unit, counts, last)
             if p <= MEMO_LENGTH:
                 states[unit[:p]] = bytes(counts[1:] + last[1:])
         return counts[1:]
 
     def extend(self, unit: str, counts: list[int], last: list[int]) -> None:
         """Append the count of the next prefix of ``unit`` and the length of its last token."""
-        p = len(counts)
-        for n in self.lengths.get(unit[max(0, p - 3) : p]) or self.lengths.get(unit[max(0, p - 2) : p], ()):
-            if n > p or (token := unit[p - n : p]) not in self.whole:
+        p, lengths, whole = len(counts), self.lengths, self.whole
+        for n in lengths.get(unit[p - 3 if p > 3 else 0 : p]) or lengths.get(unit[p - 2 if p > 2 else 0 : p], ()):
+            if n > p or (token := unit[p - n : p]) not in whole:
                 continue
-            pair = (unit[p - n - last[p - n] : p - n], token)
-            known = self.pairs.get(pair)
-            if known is None:
-                known = not pair[0] or self.follows(*pair)
-                if len(self.pairs) < KEPT_PAIRS:
-                    self.pairs[pair] = known
+            if n == p:
+                known = True
+            else:
+                pair = (unit[p - n - last[p - n] : p - n], token)
+                known = self.pairs.get(pair)
+                if known is None:
+                    known = self.follows(*pair)
+                    if len(self.pairs) < KEPT_PAIRS:
+                        self.pairs[pair] = known
             if known:
                 counts.append(counts[p - n] + 1)
                 last.append(n)
@@ -181,8 +189,28 @@ class PieceCounter:
             self.totals.clear()
         return sum(map(self.totals.__getitem__, UNIT.findall(" " + text.replace(SPACE, " "))))
 
+    def fitting(self, text: str, budget: int) -> int:
+        """Code points of the longest prefix of at most ``budget`` tokens: it ends in or before the last unit that begins below it."""
+        units = UNIT.findall(" " + text.replace(SPACE, " ")) if text else []
+        begins = [0, *accumulate(map(self.totals.__getitem__, units))]
+        last = min(bisect_left(begins, budget), len(units)) - 1
+        if last < 0:
+            return 0
+        end, total = sum(map(len, units[:last])), begins[last]
+        best = end
+        for part in self.parts(units[last].replace(" ", SPACE)):
+            counts = self.table(part)
+            best = max([best, *(end + p for p, n in enumerate(counts, 1) if total + n <= budget)])
+            end, total = end + len(part), total + counts[-1]
+        # Every text is counted with a space before it.
+        return max(0, best - 1)
+
     def unit_total(self, unit: str) -> int:
-        return sum(self.table(part)[-1] for part in self.parts(unit.replace(" ", SPACE)))
+        total = 0
+        for part in self.parts(unit.replace(" ", SPACE)):
+            state = self.states.get(part)
+            total += state[len(part) - 1] if state else self.table(part)[-1]
+        return total
 
     def prefix_counts(self, text: str) -> np.ndarray:
         """c[p] for p = 0 ... len(text): tokens of the first p characters, exactly."""
@@ -269,8 +297,8 @@ def longest_within(counts: np.ndarray, budget: int) -> int:
 def with_budget(docs: DataFrame, budget: int = LIMIT, text: str = "text", path: str | None = None) -> DataFrame:
     """Add n_tokens and ``fitting_chars``, the longest prefix within ``budget``, from each text's table.
 
-    A text within the budget is its own longest prefix, so its units' totals do; only of longer ones is the
-    table of all prefixes laid out. It stays inside the task: four bytes a character.
+    A text within the budget is its own longest prefix, so its units' totals do; of a longer one
+    only the unit that reaches the budget is looked into.
     """
     path = path or model_path()
 
@@ -279,7 +307,7 @@ def with_budget(docs: DataFrame, budget: int = LIMIT, text: str = "text", path:
         counter = shared_counter(path)
         for texts in batches:
             totals = [counter.total(t or "") for t in texts]
-            fitting = [len(t or "") if n <= budget else longest_within(counter.prefix_counts(t or ""), budget) for t, n in zip(texts, totals, strict=True)]
+            fitting = [len(t or "") if n <= budget else counter.fitting(t, budget) for t, n in zip(texts, totals, strict=True)]
             yield pd.DataFrame({"n_tokens": totals, "fitting_chars": fitting}, dtype="int64")
 
     found = docs.withColumn("__tokens", counted(F.col(text)))
