@@ -1,9 +1,12 @@
 """Many small files: packed folders against loose ones, and how many files the queries and sinks write."""
 
+import json
 from pathlib import Path
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from vigilake.operators import trace
 from vigilake.plans import evaluation, roundtrips
 from vigilake.sinks import files as sinks
 from vigilake.sources import files
@@ -95,3 +98,23 @@ def test_hook_logs_are_packed(spark, tmp_path, monkeypatch):
     rows.write.parquet(str(tmp_path / "t" / "events.parquet"))
     roundtrips.hook_logs(spark, str(tmp_path / "t"))
     assert 0 < written(tmp_path / "hooks") <= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_runs_of_packed_dumps_stay_off_the_driver(spark, tmp_path):
+    # A total for each run: from the packed files' size the optimizer would broadcast them.
+    runs = [{"run_id": f"r{i}", "run_type": ("tool", "chain")[i % 2], "inputs": {"k": i % 4}} for i in range(40)]
+    rows = spark.createDataFrame([(f"d{j}.json", bytearray(json.dumps(runs).encode())) for j in range(50)], "path string, content binary")
+    sinks.write_packed(rows, str(tmp_path / "dumps"))
+    nodes = trace.ingest_runs(files.run_dumps(spark, str(tmp_path / "dumps"), packed=True))
+    found = nodes.collect()
+    assert len(found) == 2000 and sum(trace.CIRCULAR in n.audit_flags for n in found) == 50 * 18
+    assert "BroadcastExchange" not in nodes._jdf.queryExecution().executedPlan().toString()
+
+
+def test_row_groups_of_packed_files_are_small(spark, tmp_path):
+    # A reader holds thousands of rows of a row group at once, here of 60 KB each.
+    rows = spark.range(2000, numPartitions=1).select(F.concat("id", F.lit(".txt")).alias("path"), F.repeat(F.sha2(F.col("id").cast("string"), 512), 480).alias("content"))
+    sinks.write_packed(rows, str(tmp_path / "files"))
+    (part,) = (tmp_path / "files").rglob("part-*.parquet")
+    groups = pq.ParquetFile(part).metadata
+    assert max(groups.row_group(i).num_rows for i in range(groups.num_row_groups)) <= 500

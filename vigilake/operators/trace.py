@@ -204,7 +204,7 @@ def ingest_runs(runs: DataFrame) -> DataFrame:
     # Other runs get a key of their own each, so they neither repeat nor gather in one task.
     key = F.when(F.col("type") == "NODE_TOOL", F.sha2(F.coalesce("inputs", F.lit("null")), 256)).otherwise(F.concat(F.lit("#"), F.col("pos").cast("string")))
     numbered = prefix_sum(
-        typed.withColumn("__input", key), ["file", "__input"], F.floor(F.col("pos") / BLOCK_ROWS), ["pos"], "__nth"
+        typed.withColumn("__input", key), ["file", "__input"], F.floor(F.col("pos") / BLOCK_ROWS), ["pos"], "__nth", many_totals=True
     )
     repeated = (F.col("type") == "NODE_TOOL") & (F.col("__nth") > 1)
     flags = F.array(

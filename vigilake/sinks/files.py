@@ -31,13 +31,17 @@ def write_receipt_table(built: DataFrame, path: str, mode: str = "append") -> No
     by_day(built.select("receipt", "raw", "day", held().alias("held"))).write.mode(mode).partitionBy(*RECEIPT_PARTITIONS).parquet(path)
 
 
+# A reader holds up to 4,096 rows of a row group at once; rows here are whole files, so groups are small.
+PACKED_GROUP = {"parquet.block.size": 1 << 20}
+
+
 def write_packed(small: DataFrame, path: str, mode: str = "append") -> None:
     """Many small files (``path`` below the folder, ``content``) packed into a few: a row each, in Parquet.
 
     A file of its own costs a store several calls when it is written, listed and read, however small it is.
     The sources of whole files read a packed folder with ``packed=True``.
     """
-    small.select("path", F.col("content").cast("binary").alias("content")).write.mode(mode).parquet(path)
+    small.select("path", F.col("content").cast("binary").alias("content")).write.options(**PACKED_GROUP).mode(mode).parquet(path)
 
 
 # Lines of a packed log that share a row lie in one range of so many places.
@@ -54,7 +58,7 @@ def write_packed_lines(lines: DataFrame, path: str, order: tuple[str, ...], mode
     line = F.struct(*order, F.coalesce("value", F.lit("")).alias("value"))
     segments = lines.groupBy("path", at).agg(F.array_sort(F.collect_list(line)).alias("lines"))
     content = F.concat(F.array_join(F.col("lines.value"), "\n"), F.lit("\n")).cast("binary")
-    segments.select("path", content.alias("content"), "at").write.mode(mode).parquet(path)
+    segments.select("path", content.alias("content"), "at").write.options(**PACKED_GROUP).mode(mode).parquet(path)
 
 
 def write_nodes(nodes: DataFrame, path: str, mode: str = "append", by: tuple[str, ...] = ()) -> None:
