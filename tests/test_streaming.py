@@ -4,6 +4,7 @@ import random
 import time
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 from test_traffic import CHUNKS
 from vigilake.operators import sanitize
@@ -149,3 +150,31 @@ def test_silent_sessions_are_forgotten(spark, tmp_path):
         stream = jobs.live_circular(spark.readStream.schema(schema).parquet(source), session_ttl_ms=1500)
         jobs.start_files(stream, out, name, "parquet", once=True).awaitTermination()
     assert [r.seq for r in spark.read.parquet(out).orderBy("line_no").collect()] == [1, 1]
+
+
+class Batches:
+    """A query whose batches end one after the other: (seconds, rows read, state left)."""
+
+    def __init__(self, *batches):
+        self.batches, self.begun, self.isActive = batches, time.monotonic(), True
+
+    @property
+    def lastProgress(self):
+        ended, told = self.begun, None
+        for i, (seconds, rows, left) in enumerate(self.batches):
+            ended += seconds
+            if ended <= time.monotonic():
+                told = {"timestamp": str(i), "numInputRows": rows, "stateOperators": [{"numRowsTotal": left}]}
+        return told
+
+    def exception(self):
+        return None
+
+    def stop(self):
+        self.isActive = False
+
+
+def test_long_work_is_waited_for():
+    jobs.settle(Batches((1.5, 9, 4), (0.7, 0, 2), (0.7, 0, 0)), 1)
+    with pytest.raises(TimeoutError):
+        jobs.settle(Batches((0.1, 9, 4), *[(0.4, 0, 4)] * 10), 1)

@@ -108,7 +108,7 @@ def assembled_streams(chunks: DataFrame, idle_ms: int = 60_000) -> DataFrame:
     """
     texts = with_once(chunks, {"text": traffic.frame_text(F.col("data"), F.col("vendor"))})
     given = texts.select(F.col("stream_id").cast("string").alias("stream_id"), "seq", "vendor", "text", "last")
-    return given.groupBy("stream_id").transformWithStateInPandas(state.StreamAssembler(idle_ms), ASSEMBLED, "Append", "ProcessingTime")
+    return given.groupBy("stream_id").transformWithState(state.StreamAssembler(idle_ms), ASSEMBLED, "Append", "ProcessingTime")
 
 
 def open_streams(spark: SparkSession, name: str) -> DataFrame:
@@ -123,19 +123,27 @@ def open_streams(spark: SparkSession, name: str) -> DataFrame:
 
 
 def settle(query: StreamingQuery, seconds: float = 600) -> None:
-    """Wait until a query has read what is there and no key has state left, then stop it."""
-    until = time.monotonic() + seconds
+    """Wait until a query has read what is there and no key has state left, then stop it.
+
+    The time counts from the last batch that read rows or changed how much state there is, and only a batch that
+    ended is judged: however long it takes to read and evaluate what is there is no reason to give up.
+    """
+    seen, state_left, until = None, None, 0.0
     # Timers ask for batches without data forever, so processAllAvailable() would not return.
-    while time.monotonic() < until:
-        if query.exception():
-            raise query.exception()
+    while query.isActive:
         done = query.lastProgress
-        if done and not done["numInputRows"] and not sum(o["numRowsTotal"] for o in done["stateOperators"]):
-            query.stop()
-            return
+        if done and done["timestamp"] != seen:
+            seen, left = done["timestamp"], sum(o["numRowsTotal"] for o in done["stateOperators"])
+            if not done["numInputRows"] and not left:
+                query.stop()
+                return
+            if done["numInputRows"] or left != state_left:
+                state_left, until = left, time.monotonic() + seconds
+            elif time.monotonic() > until:
+                query.stop()
+                raise TimeoutError(f"state was left as it is for {seconds} seconds")
         time.sleep(0.2)
-    query.stop()
-    raise TimeoutError(f"state was left after {seconds} seconds")
+    raise query.exception() or RuntimeError("the query was stopped before its state was empty")
 
 
 def audited_streams(

@@ -84,9 +84,10 @@ class StreamAssembler(StatefulProcessor):
 
     texts: the texts of a delta stream, one element a chunk, so state grows by what arrives.
     head: vendor, the text that a cumulative stream has reached, and the timer that is set.
+    It takes and gives rows, as LabelledDates does.
     """
 
-    columns = ["stream_id", "vendor", "text"]
+    row = Row("stream_id", "vendor", "text")
 
     def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
@@ -96,37 +97,44 @@ class StreamAssembler(StatefulProcessor):
         self.head = handle.getValueState("head", "vendor string, reached string, due bigint")
         self.idle = Idle(handle, self.idle_ms)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        vendor, reached, due = self.head.get() if self.head.exists() else ("", "", 0)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        known = self.head.get()
+        vendor, reached, due = known or ("", "", 0)
         ended, added = False, []
-        for _, vendor, text, last in _sorted(rows, "seq", ("vendor", "text", "last")):
+        for _, vendor, text, last in sorted(((row["seq"], row["vendor"], row["text"], row["last"]) for row in rows), key=lambda row: (row[0] is not None, row[0])):
             ended = ended or bool(last)
             if text and vendor == "chatgpt":
                 reached = text
             elif text:
                 added.append((text,))
-        if added and not ended:
-            self.texts.appendList(added)
         if not ended:
+            if added:
+                self.texts.appendList(added)
             self.head.update((vendor, reached, self.idle.move(timerValues, due)))
             return
-        whole = self._whole(vendor, reached) + ("" if vendor == "chatgpt" else "".join(t for (t,) in added))
-        if due:
+        # A stream that comes whole in one batch has no state to look into.
+        whole = (self._whole(vendor, reached) if known else reached if vendor == "chatgpt" else "") + ("" if vendor == "chatgpt" else "".join(t for (t,) in added))
+        if known:
             self.idle.handle.deleteTimer(due)
-        yield from self._closed(key, vendor, whole)
+            self._clear()
+        yield from self._told(key, vendor, whole)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         vendor, reached, _ = self.head.get()
-        yield from self._closed(key, vendor, self._whole(vendor, reached))
+        whole = self._whole(vendor, reached)
+        self._clear()
+        yield from self._told(key, vendor, whole)
 
     def _whole(self, vendor: str, reached: str) -> str:
         return reached if vendor == "chatgpt" else "".join(t for (t,) in self.texts.get()) if self.texts.exists() else ""
 
-    def _closed(self, key, vendor: str, text: str) -> Iterator[pd.DataFrame]:
+    def _clear(self) -> None:
         self.texts.clear()
         self.head.clear()
+
+    def _told(self, key, vendor: str, text: str) -> Iterator[Row]:
         if text:
-            yield pd.DataFrame([(key[0], vendor, text)], columns=self.columns)
+            yield self.row(key[0], vendor, text)
 
     def close(self) -> None:
         pass
