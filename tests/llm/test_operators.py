@@ -277,6 +277,78 @@ def test_copies_behind_a_looser_variant_meet(spark):
     assert got == {(40, 99)} and spans.count() == 60
 
 
+def behind_quotes(pairs: int):
+    """Documents 20 and 30 of a group share a passage but for one word; eight earlier ones have 25 words of it each, on which all its seeds are."""
+    rows, rng = [], random.Random(12)
+    for g in range(pairs):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(60)]
+        place = 25 + g % 10
+        edited = [*words[:place], "changed", *words[place + 1 :]]
+        for k, passage in (*((k, words[5 * k : 5 * k + 25]) for k in range(8)), (20, words), (30, edited)):
+            text = [*(f"p{rng.randrange(10**9)}" for _ in range(40)), *passage, *(f"q{rng.randrange(10**9)}" for _ in range(40))]
+            rows.append((100 * g + k, " ".join(text), "en", "s", 1))
+    return rows
+
+
+def test_edited_copies_behind_quotes_meet(spark, monkeypatch):
+    rows = behind_quotes(30)
+    docs = spark.createDataFrame(rows, DOCS)
+    wanted = {(100 * g + 30, 100 * g + 20, 40, 99) for g in range(30)}
+
+    def found():
+        classes, spans = passages.repeated(docs)
+        ids = {r.cls: r.first for r in classes.collect()}
+        return {(ids[r.cls], ids[s.a], s.first, s.last) for r in spans.collect() for s in r.spans}
+
+    assert found() == wanted
+    # A large group is cut into parts, with the same result.
+    monkeypatch.setattr(passages, "COMPARED", 2)
+    assert found() == wanted
+
+
+def test_edited_copies_behind_quotes_are_cut(spark):
+    rows = behind_quotes(6)
+    kept = {r.doc_id: r.text for r in passages.remove(spark.createDataFrame(rows, DOCS)).collect()}
+    for doc, text, *_ in rows:
+        words = text.split()
+        assert kept[doc].split() == (words[:40] + words[100:] if doc % 100 == 30 else words)
+
+
+def test_every_place_of_an_earlier_text_is_compared(spark):
+    """A text quotes a passage in part at its beginning and has all of it, edited, at its end; another one is the passage."""
+    rows, rng = [], random.Random(13)
+    new = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    for g in range(10):
+        words = new(60)
+        edited = [*words[:30], "changed", *words[31:]]
+        rows.append((10 * g, " ".join([*new(30), *words[:29], *new(40), *words[31:], *new(200), *edited, *new(30)]), "en", "s", 1))
+        rows.append((10 * g + 1, " ".join([*new(40), *words, *new(40)]), "en", "s", 1))
+    _, spans = passages.repeated(spark.createDataFrame(rows, DOCS))
+    assert [[(s.first, s.last) for s in r.spans] for r in spans.collect()] == [[(40, 99)]] * 10
+
+
+def test_what_cannot_be_similar_is_all_that_is_left_out():
+    """_likely() keeps each stretch in which similar_spans() finds something."""
+    rng, settings, kept, total = np.random.default_rng(5), passages.DEFAULT, 0, 0
+    for turn in range(400):
+        pool = rng.integers(0, 2**32, 90, dtype=np.uint32) if turn % 2 else rng.integers(0, 2**32, 12, dtype=np.uint32)[rng.integers(0, 12, 90)]
+        b = pool[: 46 + turn % 33]
+        others = []
+        for edits in range(0, 24, 3):
+            a = pool.copy()
+            at = rng.integers(0, 90, edits)
+            a[at] = rng.integers(0, 2**32, edits, dtype=np.uint32) if turn % 3 else a[rng.integers(0, 90, edits)]
+            others.append(a)
+        wanted, which = np.unique(b, return_inverse=True)
+        pairs = [(i, k) for i, a in enumerate(others) for k in np.flatnonzero(np.isin(wanted, a)).tolist()]
+        number, of = (np.array([p[i] for p in pairs], np.int64) for i in (0, 1))
+        likely = passages._likely(wanted, which, number, of, len(others), settings)
+        hits = {i for i, a in enumerate(others) if passages.similar_spans(b, a, settings)}
+        assert hits <= set(likely)
+        kept, total = kept + len(hits), total + len(likely)
+    assert kept > 500 and total < 400 * 8
+
+
 def test_passages_of_any_edit_meet(spark):
     """Recall at similarities from 0.8 on: passages with one word changed, left out or put in at every place are all found."""
     rows, rng = [], random.Random(9)
