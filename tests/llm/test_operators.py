@@ -349,6 +349,21 @@ def test_what_cannot_be_similar_is_all_that_is_left_out():
     assert kept > 500 and total < 400 * 8
 
 
+def test_windows_at_once_equal_one_by_one():
+    rng, settings = np.random.default_rng(6), passages.DEFAULT
+    for turn in range(100):
+        a = rng.permutation(10**6)[:150].astype(np.uint32)
+        b = a[10:110].copy()
+        at = rng.integers(0, 100, turn % 30)
+        b[at] = np.arange(len(at), dtype=np.uint32) + 10**7
+        b = np.concatenate([b[50:], b[:50]]) if turn % 4 == 3 else b
+        order = np.argsort(a, kind="stable")
+        where = np.minimum(np.searchsorted(a[order], b), len(a) - 1)
+        shared, places, starts = a[order][where] == b, order[where], list(range(len(b) - settings.room + 1))
+        one = [passages._jaccard(b[i : i + settings.room], a, places[i : i + settings.room], shared[i : i + settings.room], settings) for i in starts]
+        assert passages._window_similarities(places, shared, starts, settings).tolist() == one
+
+
 def test_passages_of_any_edit_meet(spark):
     """Recall at similarities from 0.8 on: passages with one word changed, left out or put in at every place are all found."""
     rows, rng = [], random.Random(9)
